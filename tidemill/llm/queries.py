@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_rules, sharding
+from . import exact_dedup, jaccard_join, lm_scoring, packing, quality_rules, sharding
 from .common import table
 
 _OPERATORS = {
     "op1_quality_rules": quality_rules,
+    "op2_jaccard_join": jaccard_join,
     "op3_exact_dedup": exact_dedup,
     "op5_sharding": sharding,
+    "op6_lm_scoring": lm_scoring,
     "op8_packing": packing,
 }
 
