@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, lm_scoring, packing, quality_rules, sharding
+from . import exact_dedup, jaccard_join, line_dedup, lm_scoring, packing, quality_rules, sharding, suffix_dedup
 from .common import table
 
 _OPERATORS = {
@@ -15,7 +15,9 @@ _OPERATORS = {
     "op3_exact_dedup": exact_dedup,
     "op5_sharding": sharding,
     "op6_lm_scoring": lm_scoring,
+    "op7_suffix_dedup": suffix_dedup,
     "op8_packing": packing,
+    "op9_line_dedup": line_dedup,
 }
 
 
