@@ -116,10 +116,8 @@ def _with_line_end(spans: DataFrame) -> DataFrame:
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """``df`` with repeated chunks gone from ``text_col`` and two more columns, ``_n_removed`` and ``_n_bytes``."""
     spans = materialize(_with_line_end(repeated_chunks(df, id_col, text_col, min_lines)), "line-spans")
-    x = cut(df, spans, id_col, text_col)
-    # Cuts fall on line feeds, so what is left is whole characters.
-    left = F.decode("_kept", "UTF-8")
-    text = F.when(F.col("_n_removed") > 0, left).otherwise(F.col(f"`{text_col}`"))
+    x = cut(df, spans, id_col, text_col, as_text=True)
+    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
     return x.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], "_n_bytes", "_n_removed")
 
 

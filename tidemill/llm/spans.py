@@ -34,10 +34,10 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(column: str, names: list[str]):
+def _cut(column: str, names: list[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, size, gone, runs = [], [], [], []
+            kept, size, gone, runs, said = [], [], [], [], []
             for text, spans in zip(batch.column(column), batch.column("_spans"), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 merged = union_of([(s["start"], min(s["stop"], len(data))) for s in spans.as_py()]) if spans.is_valid else []
@@ -50,20 +50,25 @@ def _cut(column: str, names: list[str]):
                 size.append(len(data))
                 gone.append(sum(b - a for a, b in merged))
                 runs.append(len(merged))
+                said.append(kept[-1].decode("utf-8", "ignore") if as_text and merged else None)
             extra = [pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())]
+            extra[0] = pa.array(said, pa.string()) if as_text else extra[0]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *extra], names=[*names, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
     return run
 
 
-def cut(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """``df`` with ``_kept`` (bytes left), ``_n_bytes``, ``_n_removed`` and ``_n_spans``.
 
+    ``as_text``: ``_kept`` is text instead, without characters that a cut halved, and null
+    where nothing was removed.
+
     ``spans(doc_id, mark, start, stop)``: bytes to remove; they may overlap.  A document's
     spans are gathered in its row, which its length bounds.
     """
     lists = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark_s"), "_spans")
     x = df.withColumn("_mark", F.xxhash64(F.col(f"`{text_col}`")))
     x = x.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_mark_s")), "left").drop("_id", "_mark", "_mark_s")
-    more = [T.StructField("_kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]]
-    return x.mapInArrow(_cut(text_col, df.columns), T.StructType([*df.schema.fields, *more]))
+    more = [T.StructField("_kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]]
+    return x.mapInArrow(_cut(text_col, df.columns, as_text), T.StructType([*df.schema.fields, *more]))

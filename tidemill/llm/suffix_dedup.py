@@ -304,6 +304,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(df, spans, id_col, text_col)
 
 
+def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``df`` with its texts less their repeats, without the texts of which nothing but white space is left."""
+    spans = materialize(repeated_spans(df, id_col, text_col, length), "suffix-spans")
+    x = cut(df, spans, id_col, text_col, as_text=True)
+    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
+    x = x.where((F.col("_n_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    return x.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+
+
 def query(docs: DataFrame) -> DataFrame:
     x = remove_repeats(docs.select("doc_id", "text"))
     return x.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
