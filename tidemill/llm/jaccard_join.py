@@ -157,18 +157,15 @@ def _overlaps(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            texts = batch.column("text_a"), batch.column("text_b")
-            held = (None, None)
-            na, nb, both = [], [], []
-            for a, b in zip(*texts, strict=True):
-                a, b = a.as_py(), b.as_py()
-                if held[0] != a:
-                    held = (a, shingle_sets([a], words, width)[0])
-                other = shingle_sets([b], words, width)[0]
-                na.append(len(held[1]))
-                nb.append(len(other))
-                both.append(len(np.intersect1d(held[1], other, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+            for part in slices(batch, "text_b", 1 << 20):
+                a, b = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
+                # Rows of one pair side stand together, so its set is built once for each stretch.
+                heads = list(dict.fromkeys(a))
+                sets = dict(zip(heads, shingle_sets(heads, words, width), strict=True))
+                left, right = [sets[t] for t in a], shingle_sets(b, words, width)
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+                sizes = [pa.array([len(x) for x in side], pa.int64()) for side in (left, right)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *sizes, pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
     return run
 
@@ -185,9 +182,14 @@ def _levels(parts: DataFrame) -> np.ndarray:
 
 def _compare(docs: DataFrame, pairs: DataFrame, width: int, tag: str) -> DataFrame:
     """``pairs(a, b)`` with the sizes of both sets and their intersection, from the whole texts."""
-    one = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, na long, nb long, both long"), tag)
+    # The texts of the pairs' documents alone go on to the joins: all texts are shuffled just once.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialize(docs.join(ids, "doc_id", "left_semi"), "join-texts")
+    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    out = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, na long, nb long, both long"), tag)
+    release(texts)
+    return out
 
 
 def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -212,22 +214,27 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     lists = materialize(index.join(shared, "key").select("key", "doc_id", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), block.alias("block")), "join-lists")
     release(packed, shared)
+    # Each set's listed tokens, which tell how many of its prefix it shares with another one.
+    shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-shown")
     pairs = _Pairs(percent)
     leaders = materialize(lists.where(pairs.leading).groupBy("key", "block").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead")), "join-leaders")
     probes = lists.withColumn("open", F.explode(F.array("block", F.col("block") - 1)))
     heads = leaders.select("key", F.col("block").alias("open"), "lead")
     star = probes.join(heads, ["key", "open"]).where(F.col("doc_id") != F.col("lead.doc_id")).where(pairs.possible("lead.n", "lead.pos", "n", "pos"))
-    star = materialize(star.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "join-star")
-    tested = _compare(known, star, width, "join-tested")
+    star = star.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = materialize(pairs.bounded(star, shown), "join-star")
+    tested = _compare(known, star.where("ok").select("a", "b"), width, "join-tested")
+    # What is known of each set's overlap with a leader: its size, or a bound that was enough.
+    answers = materialize(tested.select("a", "b", "both").union(star.where("not ok").select("a", "b", "most")), "join-answers")
     release(star)
     links = tested.where(pairs.linked)
     comps = components(links)
-    rest = _rest(lists, leaders, tested, comps, pairs)
+    rest = _rest(lists, leaders, shown, tested, answers, comps, pairs)
     if not rest.isEmpty():
         more = _compare(known, rest, width, "join-more")
         links = links.unionByName(more.where(pairs.linked))
         comps = components(links)
-    release(rest, lists, leaders)
+    release(rest, lists, leaders, shown, answers)
     # Repeated ids: one id may stand for several sets, which its node ties together.
     members = rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return members, links, comps
@@ -247,8 +254,22 @@ class _Pairs:
         """Sizes fit, and what follows the shared token is enough if it is the first one shared."""
         return F.expr(f"{xn} <= {yn} and 100L * {xn} >= {self.percent}L * {yn} and {100 + self.percent}L * least({xn} - {xpos}, {yn} - {ypos}) >= {self.percent}L * ({xn} + {yn})")
 
+    def bounded(self, pairs: DataFrame, shown: DataFrame) -> DataFrame:
+        """``a, b, most, ok``: a bound of the overlap from the prefixes, and whether it reaches the threshold.
+
+        Of two prefixes, let one end first in the global order.  What both sets share up to
+        there is in both prefixes; beyond it, its own set has only ``ceil(percent * n / 100) - 1``
+        tokens left.
+        """
+        side = lambda c: shown.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"keys{c}"))
+        left = lambda n: F.expr(f"cast(ceil({self.percent}L * {n} / 100.0D - 1e-9) as int) - 1")
+        x = pairs.join(side("b"), "b").join(side("a"), "a")
+        x = x.withColumn("most", (F.size(F.array_intersect("keysa", "keysb")) + F.greatest(left("na"), left("nb"))).cast("long"))
+        ok = F.expr(f"{100 + self.percent}L * most >= {self.percent}L * (na + nb)")
+        return x.groupBy("a", "b").agg(F.max("most").alias("most"), F.max(ok).alias("ok"))
+
 
-def _rest(lists: DataFrame, leaders: DataFrame, tested: DataFrame, comps: DataFrame, pairs: _Pairs) -> DataFrame:
+def _rest(lists: DataFrame, leaders: DataFrame, shown: DataFrame, tested: DataFrame, answers: DataFrame, comps: DataFrame, pairs: _Pairs) -> DataFrame:
     """Pairs of a list that are neither linked through leaders nor excluded by their answers."""
     label = comps.select(F.col("node").alias("doc_id"), "component")
     x = lists.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -257,8 +278,8 @@ def _rest(lists: DataFrame, leaders: DataFrame, tested: DataFrame, comps: DataFr
     x = x.join(mixed, "key")
     # Each row with its own block's leader: near if linked to it, and the overlap if they were compared.
     heads = leaders.select("key", "block", F.col("lead.doc_id").alias("leader"))
-    answers = tested.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both", F.expr(pairs.linked).alias("near"))
-    x = x.join(heads, ["key", "block"], "left").join(answers, ["leader", "doc_id"], "left")
+    told = tested.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both", F.expr(pairs.linked).alias("near"))
+    x = x.join(heads, ["key", "block"], "left").join(told, ["leader", "doc_id"], "left")
     own = F.col("leader").eqNullSafe(F.col("doc_id"))
     x = materialize(x.select("key", "block", "doc_id", "n", "pos", "component", "leader", own.alias("own"), F.when(own, F.col("n")).otherwise(F.col("both")).alias("both"), F.coalesce(own | F.col("near"), F.lit(False)).alias("near")), "join-rows")
     near, far = x.where("near"), x.where("not near")
@@ -274,7 +295,7 @@ def _rest(lists: DataFrame, leaders: DataFrame, tested: DataFrame, comps: DataFr
     asked = far.withColumn("at", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))).unionByName(near.withColumn("at", F.col("block") - 1))
     tries = asked.select("key", F.col("at").alias("block"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component")])
     tries = tries.join(stats, ["key", "block"]).where("x_component <> component")
-    seen = tested.select(F.col("a").alias("leader"), F.col("b").alias("x_doc_id"), F.col("both").alias("x_both"))
+    seen = answers.select(F.col("a").alias("leader"), F.col("b").alias("x_doc_id"), F.col("both").alias("x_both"))
     tries = tries.join(seen, ["leader", "x_doc_id"], "left")
     tries = tries.where(f"100L * x_n >= {p}L * least_n and 100L * most_n >= {p}L * x_n and (x_both is null or {100 + p}L * (x_both + beyond) >= {p}L * (x_n + least_n))")
     tries = materialize(tries.select("key", "block", *[f"x_{c}" for c in ("doc_id", "n", "pos", "component", "both")]), "join-tries")
@@ -282,8 +303,9 @@ def _rest(lists: DataFrame, leaders: DataFrame, tested: DataFrame, comps: DataFr
     nf = nf.where(pairs.possible("x_n", "x_pos", "n", "pos") | pairs.possible("n", "pos", "x_n", "x_pos"))
     nf = nf.where(f"x_both is null or {100 + p}L * (x_both + n - both) >= {p}L * (x_n + n)")
     nf = nf.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return materialize(ff.union(nf).distinct().join(done, ["a", "b"], "left_anti"), "join-rest")
+    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    asked = ff.union(nf).distinct().join(done, ["a", "b"], "left_anti")
+    return materialize(pairs.bounded(asked, shown).where("ok").select("a", "b"), "join-rest")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
