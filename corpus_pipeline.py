@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemill.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
 from tidemill.llm.common import materialize, table
 
+#: A string that repeats goes from this many bytes on: passages of fifty words are longer.
+PASSAGE = 200
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -36,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that occur twice or more go; so do documents with nothing else."""
-    return _counted(suffix_dedup.keep_unrepeated(docs))
+    return _counted(suffix_dedup.keep_unrepeated(docs, length=PASSAGE))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
