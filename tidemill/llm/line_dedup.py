@@ -98,7 +98,7 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = found.join(first, ["h1", "h2"]).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("mark") == F.col("first.mark")))
     # The same text under the same id is one document: its other rows' chunks are first as well.
     asked = members.groupBy(*KEY).agg(F.collect_set(F.struct("h1", "h2", "start", "stop", "is_first")).alias("asked")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked")
-    held = docs.join(asked, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.mark == F.col("_mark"))).select(*KEY, F.encode("text", "UTF-8").alias("bytes"), F.explode("asked").alias("x"))
+    held = docs.join(asked.hint("merge"), docs.doc_id.eqNullSafe(F.col("_id")) & (docs.mark == F.col("_mark"))).select(*KEY, F.encode("text", "UTF-8").alias("bytes"), F.explode("asked").alias("x"))
     piece = F.expr("substring(bytes, cast(x.start as int) + 1, cast(x.stop - x.start as int))").alias("piece")
     pieces = materialize(held.select(*KEY, "x.*", piece), "line-pieces")
     release(found, first)

@@ -69,6 +69,7 @@ def cut(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     lists = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark_s"), "_spans")
     x = df.withColumn("_mark", F.xxhash64(F.col(f"`{text_col}`")))
-    x = x.join(lists, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_mark_s")), "left").drop("_id", "_mark", "_mark_s")
+    # Always by shuffle: a list that is small enough to broadcast today grows with the corpus.
+    x = x.join(lists.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_mark_s")), "left").drop("_id", "_mark", "_mark_s")
     more = [T.StructField("_kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]]
     return x.mapInArrow(_cut(text_col, df.columns, as_text), T.StructType([*df.schema.fields, *more]))
