@@ -35,7 +35,7 @@ from .common import materialize, release
 
 ORDER = 5
 #: Bytes of text in a block of documents that is scored together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 PIECE = 4 << 20
 END = b"\n"
 GRAM, WORD = 0, 1
@@ -91,9 +91,10 @@ def _count(order: int):
         strings, words = [], Counter()
         for first, docs in _pieces(table.column("text")):
             g, sizes = grams(docs, order)
-            w = np.repeat(train[first : first + len(docs)], sizes)
-            u, inverse = np.unique(g, return_inverse=True)
-            strings.append((u, np.bincount(inverse, weights=w, minlength=len(u)).astype(np.int64)))
+            mine = np.repeat(train[first : first + len(docs)], sizes)
+            strings.append(np.unique(g[mine], return_counts=True))
+            others = np.unique(g[~mine])
+            strings.append((others, np.zeros(len(others), dtype=np.int64)))
             for t, d in zip(train[first : first + len(docs)], docs, strict=True):
                 if t:
                     words.update(d)
@@ -115,45 +116,75 @@ def _count(order: int):
     return run
 
 
+class _Table:
+    """Values by 64-bit key: rows sorted by a hash, and where each hash begins."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = np.uint64(64 - max(4, int(len(keys) * 2).bit_length() + 1))
+        h = self._hash(keys)
+        at = np.argsort(h, kind="stable")
+        self.keys, self.values = keys[at], values[at]
+        self.starts = np.searchsorted(h[at], np.arange(1 << (64 - int(self.bits)))).astype(np.int32)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which are there."""
+        at = self.starts[self._hash(keys).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
+
+
+class _Logs(dict):
+    """log10 of a word's add-one probability, worked out when first asked for."""
+
+    def __init__(self, counts: dict[int, float], bottom: int, none: float):
+        super().__init__()
+        self.counts, self.bottom, self.none = counts, bottom, none
+
+    def __missing__(self, word: bytes) -> float:
+        c = self.counts.get(word_key(word), 0)
+        out = self[word] = math.log10((c + 1) / self.bottom) if c else self.none
+        return out
+
+
 def _score(order: int, total: int, distinct: int):
     """Scores of a block's documents, from the values of its strings and words."""
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
-        at = np.argsort(key[kind == GRAM])
-        keys, logs = key[kind == GRAM][at], value[kind == GRAM][at]
-        counts = dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist(), strict=True))
+        logs = _Table(key[kind == GRAM], value[kind == GRAM])
         bottom = total + distinct + 1
         none = math.log10(1 / bottom)
-        memo: dict[bytes, tuple[float, bool]] = {}
+        memo = _Logs(dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist(), strict=True)), bottom, none)
         n, known, base, score = [], [], [], []
         for _, parts in _pieces(docs.column("text")):
             g, sizes = grams(parts, order)
-            found = logs[np.searchsorted(keys, g)]
-            score += np.add.reduceat(found, np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
+            score += np.add.reduceat(logs.find(g), np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
             for d in parts:
-                new = set(d) - memo.keys()
-                for w in new:
-                    c = counts.get(word_key(w), 0)
-                    memo[w] = (math.log10((c + 1) / bottom), True) if c else (none, False)
                 got = [memo[w] for w in d]
                 n.append(len(d))
-                known.append(sum(k for _, k in got))
-                base.append(math.fsum(p for p, _ in got))
+                known.append(len(d) - got.count(none))
+                base.append(sum(got))
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def _probabilities(strings: DataFrame, order: int) -> DataFrame:
+def _probabilities(strings: DataFrame, order: int) -> tuple[DataFrame, list[DataFrame]]:
     """``key, value``: log10 of the last byte's probability after the others, for every string of the corpus.
 
     ``strings``: key and its number n in training.  Works down from the longest context;
     only strings that must escape go on to the next shorter one, with what they exclude.
+    Also returns the tables that the result is read from.
     """
     seen = materialize(strings.where("n > 0").select("key", "n"), "ppm-seen")
     ask = strings.select("key", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("out_n"), F.lit(0).cast("long").alias("out_d"))
-    done = []
+    done, held = [], []
     for k in range(order, -1, -1):
         mask = (1 << 8 * k) - 1
         shorter = materialize(seen.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), "ppm-seen") if k else None
@@ -174,12 +205,14 @@ def _probabilities(strings: DataFrame, order: int) -> DataFrame:
         x = materialize(x, "ppm-level")
         done.append(x.where("hit").select("key", F.col("log").alias("value")))
         ask = x.where("not hit").drop("hit")
+        held.append(x)
+        release(seen)
         seen = shorter
     done.append(ask.select("key", (F.col("log") - F.log10(F.greatest(F.lit(256) - F.col("out_d"), F.lit(1)).cast("double"))).alias("value")))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return out
+    return out, held
 
 
 def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -192,15 +225,17 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     total = df.agg(F.sum(size.cast("long") + 1)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").alias("text"))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    # A partition for each block on average: scoring is too heavy to merge partitions by their bytes.
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
     counts = materialize(docs.groupBy("block").applyInArrow(_count(order), "block long, kind byte, key long, n long"), "ppm-counts")
     sums = materialize(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-sums")
     words = sums.where(f"kind = {WORD} and n > 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    strings = _probabilities(sums.where(f"kind = {GRAM}").select("key", "n"), order)
+    strings, held = _probabilities(sums.where(f"kind = {GRAM}").select("key", "n"), order)
     values = materialize(strings.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").union(words.select("kind", "key", F.col("n").cast("double"))), "ppm-values")
+    release(*held, sums)
     asked = materialize(counts.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value"), "ppm-asked")
-    release(counts, values, sums)
+    release(counts, values)
     scored = docs.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_score(order, n, v), f"doc_id {dict(docs.dtypes)['doc_id']}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
