@@ -2,20 +2,26 @@
 
 Texts become sets of word shingles.  The join is exact and skips work on two levels:
 
-* Index level.  Inverted lists hold only the tokens of a set's prefix, rarest first, and
+* Index level.  Inverted lists hold only the tokens of a set's prefix, rare ones first, and
   are cut into blocks by set size.  A probe opens only the blocks whose sizes can reach
   the threshold, and the positions of the shared token in both sets bound the overlap,
   so whole stretches of a list are never visited.
 * Answer level.  Equal sets collapse into one class.  In each block, every set is first
-  compared with the block's smallest set, the leader.  The answers of sets that are
+  compared with one of its sets, the leader.  The answers of sets that are
   highly similar to the leader follow from the leader's: they are linked through it, and
   a set x with known overlap with the leader can share at most
   ``|x & leader| + |y - leader|`` with such a set y.  One maximum per block bounds all
   its members at once, so x skips the block, or the single pairs, that cannot link.
 
-Only what neither level can skip is compared, by rebuilding both shingle sets from the
-whole texts.  Token order: a count sketch of fixed size, filled from all documents,
-tells which tokens are frequent; the order decides cost, never results.
+Leaders are drawn anew, among representatives of components that still meet in a list,
+until a round finds no link.  Only what neither level can skip is compared, by rebuilding
+both shingle sets from the whole texts.
+
+Token order: a set first shows the least hashes of its tokens, half as many again as its
+prefix needs.  Tokens shown by more than ``FREQUENT`` sets come last in the order, so
+they leave the prefix of every set that has rarer ones; sets that lack rarer ones among
+those shown (large groups of near copies) show all their tokens.  The counts are exact
+and cover all sets; they decide cost, never results.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows with
 one id are one node, linked by any of their texts; a null id links with nothing and has
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release, slices
@@ -39,10 +45,8 @@ from .components import components
 WIDTH = 5
 #: The threshold as hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-SLOTS = 1 << 20
-BLOCK = 1 << 12
-#: A token is frequent when its slot holds this many times the mean.
-FREQUENT = 8
+#: A token that more sets than this show is frequent, and comes last in the order of tokens.
+FREQUENT = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,56 +101,25 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def _scan(width: int):
-    """Per document its set's size and fingerprint; per partition a count sketch of all tokens, in blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch = _Words(), np.zeros(SLOTS, dtype=np.int64)
-        names = ["doc_id", "n", "f1", "f2", "block", "counts"]
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text").to_pylist(), words, width)
-                joined = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-                sketch += np.bincount((joined & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-                prints = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]).reshape(-1, 2)
-                k = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        if sketch.any():
-            k = SLOTS // BLOCK
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in sketch.astype("<u4").reshape(k, BLOCK)], pa.binary())], names=names)
-
-    return run
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal blocks, one block in memory at a time for each number."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            x = np.frombuffer(counts.as_buffer(), dtype="<u4").astype("<u8")
-            total[block] = total[block] + x if block in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+def shown_length(n: int, percent: int = PERCENT) -> int:
+    """Tokens of a set of n that are shown at first."""
+    p = prefix_length(n, percent)
+    return min(n, p + p // 2 + 8)
 
 
-def _prefixes(sketch, width: int, percent: int):
-    """Per document the tokens of its prefix, rarest first, as 64-bit keys that sort in the global order."""
+def _scan(width: int, percent: int, whole: bool):
+    """Per document its set's size and fingerprint, and its least hashes (or all) in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, words = sketch.value, _Words()
+        words = _Words()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, sizes, keys = part.column("doc_id"), [], []
-                for s in shingle_sets(part.column("text").to_pylist(), words, width):
-                    n = len(s)
-                    rank = levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57) | s >> np.uint64(7)
-                    p = prefix_length(n, percent) if n else 0
-                    keys.append(np.sort(rank)[:p].astype(np.int64))
-                    sizes.append(n)
+                sets = shingle_sets(part.column("text").to_pylist(), words, width)
+                prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
+                keys = [(s if whole else s[: shown_length(len(s), percent) if len(s) else 0]) >> np.uint64(1) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], names=["doc_id", "n", "f1", "f2", "keys"])
 
     return run
 
@@ -170,23 +143,28 @@ def _overlaps(width: int):
     return run
 
 
-def _levels(parts: DataFrame) -> np.ndarray:
-    """0 for a slot of usual load, then one more for each doubling beyond the bound."""
-    sums = parts.where("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_add, "block int, counts binary")
-    sketch = np.zeros(SLOTS, dtype=np.float64)
-    for block, counts in sums.collect():  # SLOTS counters, whatever the input
-        sketch[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(bytes(counts), dtype="<u8")
-    bound = max(FREQUENT * sketch.mean(), FREQUENT)
-    return np.clip(np.floor(np.log2(np.maximum(sketch, 1) / bound)) + 1, 0, 63).astype(np.uint8)
+def _ordered(hits: DataFrame) -> DataFrame:
+    """``key, doc_id, n, pos`` with places in the final order, from places by hash.
+
+    ``hits``: key, doc_id, n, given (tokens shown), pos, and m, the number of sets that show
+    the token.  A token that is not frequent moves up by the frequent ones before it;
+    frequent ones follow all others.  Rows of tokens that no other set shows may be absent.
+    """
+    x = hits.withColumn("often", (F.col("m") > FREQUENT).cast("int"))
+    doc = Window.partitionBy("doc_id", "n")
+    before = F.sum("often").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("often")
+    x = x.withColumn("before", before).withColumn("rare", F.col("given") - F.sum("often").over(doc))
+    pos = F.when(F.col("often") == 1, F.col("rare") + F.col("before")).otherwise(F.col("pos") - F.col("before"))
+    return x.select("key", "doc_id", "n", pos.cast("int").alias("pos"), "m")
 
 
 def _compare(docs: DataFrame, pairs: DataFrame, width: int, tag: str) -> DataFrame:
     """``pairs(a, b)`` with the sizes of both sets and their intersection, from the whole texts."""
     # The texts of the pairs' documents alone go on to the joins: all texts are shuffled just once.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(ids, "doc_id", "left_semi"), "join-texts")
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "join-texts")
+    one = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     out = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, na long, nb long, both long"), tag)
     release(texts)
     return out
@@ -195,46 +173,64 @@ def _compare(docs: DataFrame, pairs: DataFrame, width: int, tag: str) -> DataFra
 def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The join: ``(members, links, comps)``.
 
-    ``members``: doc_id, n, rep (the smallest id with an equal set).  ``links``: a, b and
-    the overlap of linked representatives that were compared; further links follow from
+    ``members``: doc_id, n, rep (the smallest id with an equal set).  ``links``: a, b of
+    linked representatives that were compared; further links follow from
     these through a common leader.  ``comps``: node, component over representatives.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    parts = materialize(docs.mapInArrow(_scan(width), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "join-scan")
-    sketch = spark.sparkContext.broadcast(_levels(parts))
-    rows = parts.where("n is not null").select("doc_id", "n", "f1", "f2")
+    kinds = "doc_id long, n long, f1 long, f2 long, keys array<long>"
+    parts = materialize(docs.mapInArrow(_scan(width, percent, False), kinds), "join-scan")
+    rows = parts.select("doc_id", "n", "f1", "f2")
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "join-classes")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     known = docs.where("doc_id is not null")
-    packed = known.mapInArrow(_prefixes(sketch, width, percent), "doc_id long, n long, keys array<long>").where("n > 0")
-    packed = materialize(packed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "join-prefixes")
-    index = packed.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = materialize(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "join-keys")
+    pairs = _Pairs(percent)
+    explode = lambda x: x.select("doc_id", F.col("n").cast("int").alias("n"), F.size("keys").alias("given"), F.posexplode("keys").alias("pos", "key"))
+    index = explode(materialize(parts.where("n > 0").select("doc_id", "n", "keys").join(reps.hint("merge"), "doc_id", "left_semi"), "join-shown"))
+    shared = materialize(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "join-keys")
+    hits = materialize(index.join(shared.hint("merge"), "key").select("key", "doc_id", "n", "given", "pos", "m"), "join-hits")
+    # Sets with too few rare tokens among those shown: they show all.
+    often = F.count_if(F.col("m") > FREQUENT)
+    short = hits.groupBy("doc_id", "n", "given").agg(often.alias("often")).where(f"given < n and given - often < {pairs.prefix('n')}")
+    short = materialize(short.select("doc_id").distinct(), "join-short")
+    tokens = explode(known.join(short.hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(width, percent, True), kinds).where("n > 0"))
+    heavy = _ordered(tokens.join(shared, "key", "left").withColumn("m", F.coalesce("m", F.lit(0)))).where(f"pos < {pairs.prefix('n')}")
+    heavy = materialize(heavy, "join-heavy")
+    # Tokens that thereby came in, where other sets show them.
+    late = index.join(heavy.where("m < 2").select("key").distinct().hint("merge"), "key", "left_semi").withColumn("m", F.lit(1).cast("long"))
+    light = hits.union(late.select(*hits.columns)).join(short, "doc_id", "left_anti")
+    whole = _ordered(light).where(f"pos < {pairs.prefix('n')}").union(heavy)
     # Blocks of a factor 100 / percent: similar sets lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    lists = materialize(index.join(shared, "key").select("key", "doc_id", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), block.alias("block")), "join-lists")
-    release(packed, shared)
+    lists = materialize(whole.select("key", "doc_id", "n", "pos", block.alias("block")), "join-lists")
+    release(hits, short, shared, heavy)
     # Each set's listed tokens, which tell how many of its prefix it shares with another one.
-    shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-shown")
-    pairs = _Pairs(percent)
-    leaders = materialize(lists.where(pairs.leading).groupBy("key", "block").agg(F.min(F.struct("n", "doc_id", "pos")).alias("lead")), "join-leaders")
+    shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-prefixes")
+    leaders = materialize(lists.groupBy("key", "block").agg(F.min(F.struct("doc_id", "n", "pos")).alias("lead")), "join-leaders")
     probes = lists.withColumn("open", F.explode(F.array("block", F.col("block") - 1)))
     heads = leaders.select("key", F.col("block").alias("open"), "lead")
-    star = probes.join(heads, ["key", "open"]).where(F.col("doc_id") != F.col("lead.doc_id")).where(pairs.possible("lead.n", "lead.pos", "n", "pos"))
+    star = probes.join(heads, ["key", "open"]).where(F.col("doc_id") != F.col("lead.doc_id")).where(pairs.either("lead.n", "lead.pos", "n", "pos"))
     star = star.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = materialize(pairs.bounded(star, shown), "join-star")
-    tested = _compare(known, star.where("ok").select("a", "b"), width, "join-tested")
-    # What is known of each set's overlap with a leader: its size, or a bound that was enough.
-    answers = materialize(tested.select("a", "b", "both").union(star.where("not ok").select("a", "b", "most")), "join-answers")
-    release(star)
-    links = tested.where(pairs.linked)
+    answers = _answers(known, star, shown, pairs, width)
+    links = answers.where("linked").select("a", "b")
     comps = components(links)
-    rest = _rest(lists, leaders, shown, tested, answers, comps, pairs)
+    while True:
+        mixed = _mixed(lists, comps)
+        again = _round(mixed, answers, pairs)
+        found = _answers(known, again, shown, pairs, width)
+        new = found.where("linked").select("a", "b")
+        answers = answers.unionByName(found)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        comps = components(links)
+        release(mixed)
+    rest = _rest(mixed, leaders, shown, answers, pairs)
     if not rest.isEmpty():
-        more = _compare(known, rest, width, "join-more")
-        links = links.unionByName(more.where(pairs.linked))
+        more = _answers(known, rest, shown, pairs, width)
+        links = links.union(more.where("linked").select("a", "b"))
         comps = components(links)
-    release(rest, lists, leaders, shown, answers)
+    release(rest, mixed, lists, leaders, shown)
     # Repeated ids: one id may stand for several sets, which its node ties together.
     members = rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return members, links, comps
@@ -248,64 +244,102 @@ class _Pairs:
         # Overlap of a pair: 100 * both >= percent * (|x| + |y| - both).
         self.linked = f"{100 + percent}L * both >= {percent}L * (na + nb)"
         # The smaller set need only show the prefix that a partner of its own size or more asks for.
-        self.leading = F.expr(f"pos <= n - cast(ceil({2 * percent}L * n / {100.0 + percent} - 1e-9) as int)")
+        self.leading = F.expr(f"pos <= n - cast(ceil({2 * percent}L * n / {100.0 + percent}D - 1e-9) as int)")
+
+    def least(self, n: str) -> str:
+        """What a set must share with any similar one."""
+        return f"cast(ceil({self.percent}L * {n} / 100.0D - 1e-9) as int)"
+
+    def prefix(self, n: str) -> str:
+        return f"({n} - {self.least(n)} + 1)"
 
     def possible(self, xn: str, xpos: str, yn: str, ypos: str):
         """Sizes fit, and what follows the shared token is enough if it is the first one shared."""
         return F.expr(f"{xn} <= {yn} and 100L * {xn} >= {self.percent}L * {yn} and {100 + self.percent}L * least({xn} - {xpos}, {yn} - {ypos}) >= {self.percent}L * ({xn} + {yn})")
 
+    def either(self, xn: str, xpos: str, yn: str, ypos: str):
+        return self.possible(xn, xpos, yn, ypos) | self.possible(yn, ypos, xn, xpos)
+
     def bounded(self, pairs: DataFrame, shown: DataFrame) -> DataFrame:
         """``a, b, most, ok``: a bound of the overlap from the prefixes, and whether it reaches the threshold.
 
         Of two prefixes, let one end first in the global order.  What both sets share up to
-        there is in both prefixes; beyond it, its own set has only ``ceil(percent * n / 100) - 1``
-        tokens left.
+        there is in both prefixes; beyond it, its own set has only ``least - 1`` tokens left.
         """
         side = lambda c: shown.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"keys{c}"))
-        left = lambda n: F.expr(f"cast(ceil({self.percent}L * {n} / 100.0D - 1e-9) as int) - 1")
+        left = lambda n: F.expr(f"{self.least(n)} - 1")
         x = pairs.join(side("b"), "b").join(side("a"), "a")
         x = x.withColumn("most", (F.size(F.array_intersect("keysa", "keysb")) + F.greatest(left("na"), left("nb"))).cast("long"))
         ok = F.expr(f"{100 + self.percent}L * most >= {self.percent}L * (na + nb)")
         return x.groupBy("a", "b").agg(F.max("most").alias("most"), F.max(ok).alias("ok"))
 
 
-def _rest(lists: DataFrame, leaders: DataFrame, shown: DataFrame, tested: DataFrame, answers: DataFrame, comps: DataFrame, pairs: _Pairs) -> DataFrame:
-    """Pairs of a list that are neither linked through leaders nor excluded by their answers."""
+def _answers(docs: DataFrame, pairs: DataFrame, shown: DataFrame, p: _Pairs, width: int) -> DataFrame:
+    """``a, b, both, linked`` of each pair: the overlap, or a bound of it that was enough to tell that they do not link."""
+    asked = materialize(p.bounded(pairs, shown), "join-asked")
+    tested = _compare(docs, asked.where("ok").select("a", "b"), width, "join-tested")
+    told = tested.groupBy("a", "b").agg(F.max("both").alias("both"), F.max(F.expr(p.linked)).alias("linked"))
+    out = materialize(told.union(asked.where("not ok").select("a", "b", "most", F.lit(False))), "join-answers")
+    release(asked, tested)
+    return out
+
+
+def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the lists in which different components still meet, with their components."""
     label = comps.select(F.col("node").alias("doc_id"), "component")
-    x = lists.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    x = materialize(x, "join-labelled")
-    mixed = materialize(x.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key"), "join-mixed")
-    x = x.join(mixed, "key")
-    # Each row with its own block's leader: near if linked to it, and the overlap if they were compared.
+    x = materialize(lists.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "join-labelled")
+    keys = materialize(x.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key"), "join-mixed")
+    out = materialize(x.join(keys, "key"), "join-meeting")
+    release(x, keys)
+    return out
+
+
+def _round(mixed: DataFrame, answers: DataFrame, p: _Pairs) -> DataFrame:
+    """New pairs of a round: in each block one set of each component, with one set of the first component."""
+    one = mixed.groupBy("key", "block", "component").agg(F.max(F.struct("doc_id", "n", "pos")).alias("x"))
+    one = materialize(one, "join-one")
+    head = one.groupBy("key", "block").agg(F.min(F.struct("component", "x")).alias("head"))
+    opened = one.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
+    star = opened.join(head, ["key", "block"]).where("component <> head.component").where(p.either("head.x.n", "head.x.pos", "x.n", "x.pos"))
+    star = star.select(F.col("head.x.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
+    return star.join(_either_way(answers), ["a", "b"], "left_anti")
+
+
+def _either_way(answers: DataFrame) -> DataFrame:
+    return answers.select("a", "b").union(answers.select(F.col("b"), F.col("a"))).toDF("a", "b").distinct()
+
+
+def _rest(mixed: DataFrame, leaders: DataFrame, shown: DataFrame, answers: DataFrame, p: _Pairs) -> DataFrame:
+    """Pairs of a list that are neither linked through leaders nor excluded by their answers."""
     heads = leaders.select("key", "block", F.col("lead.doc_id").alias("leader"))
-    told = tested.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both", F.expr(pairs.linked).alias("near"))
-    x = x.join(heads, ["key", "block"], "left").join(told, ["leader", "doc_id"], "left")
-    own = F.col("leader").eqNullSafe(F.col("doc_id"))
-    x = materialize(x.select("key", "block", "doc_id", "n", "pos", "component", "leader", own.alias("own"), F.when(own, F.col("n")).otherwise(F.col("both")).alias("both"), F.coalesce(own | F.col("near"), F.lit(False)).alias("near")), "join-rows")
+    known = answers.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both").union(answers.select(F.col("b"), F.col("a"), "both")).groupBy("leader", "doc_id").agg(F.min("both").alias("both"))
+    known = materialize(known, "join-known")
+    owner = mixed.select("key", F.col("doc_id").alias("leader"), F.col("component").alias("led")).distinct()
+    x = mixed.join(heads, ["key", "block"]).join(owner, ["key", "leader"]).join(known, ["leader", "doc_id"], "left")
+    # How far each set may reach beyond its block's leader.
+    beyond = F.when(F.col("leader") == F.col("doc_id"), 0).otherwise(F.col("n") - F.coalesce("both", F.lit(0)))
+    x = materialize(x.select("key", "block", "doc_id", "n", "pos", "component", "leader", beyond.alias("beyond"), (F.col("component") == F.col("led")).alias("near")), "join-rows")
     near, far = x.where("near"), x.where("not near")
-    p = pairs.percent
+    h, q = 100 + p.percent, p.percent
     # Far and far, in blocks that fit.
-    left = far.where(pairs.leading).select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component", "block")])
+    left = far.where(p.leading).select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component", "block")])
     opened = far.withColumn("x_block", F.explode(F.array("block", F.col("block") - 1)))
-    ff = left.join(opened, ["key", "x_block"]).where("x_doc_id <> doc_id and x_component <> component").where(pairs.possible("x_n", "x_pos", "n", "pos"))
+    ff = left.join(opened, ["key", "x_block"]).where("x_doc_id <> doc_id and x_component <> component").where(p.possible("x_n", "x_pos", "n", "pos"))
     ff = ff.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
-    # Far and near: a block's largest remainder beyond its leader bounds all its members at once.
-    stats = near.groupBy("key", "block", "leader").agg(F.max(F.col("n") - F.col("both")).alias("beyond"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("component"))
+    # Far and near: a block's largest reach beyond its leader bounds all its members at once.
+    stats = near.groupBy("key", "block", "leader", "component").agg(F.max("beyond").alias("most_beyond"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     # A near row of the next larger block counts as far here: it was compared with this block's leader too.
     asked = far.withColumn("at", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))).unionByName(near.withColumn("at", F.col("block") - 1))
     tries = asked.select("key", F.col("at").alias("block"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component")])
     tries = tries.join(stats, ["key", "block"]).where("x_component <> component")
-    seen = answers.select(F.col("a").alias("leader"), F.col("b").alias("x_doc_id"), F.col("both").alias("x_both"))
-    tries = tries.join(seen, ["leader", "x_doc_id"], "left")
-    tries = tries.where(f"100L * x_n >= {p}L * least_n and 100L * most_n >= {p}L * x_n and (x_both is null or {100 + p}L * (x_both + beyond) >= {p}L * (x_n + least_n))")
+    tries = tries.join(known.select("leader", F.col("doc_id").alias("x_doc_id"), F.col("both").alias("x_both")), ["leader", "x_doc_id"], "left")
+    tries = tries.where(f"100L * x_n >= {q}L * least_n and 100L * most_n >= {q}L * x_n and (x_both is null or {h}L * (x_both + most_beyond) >= {q}L * (x_n + least_n))")
     tries = materialize(tries.select("key", "block", *[f"x_{c}" for c in ("doc_id", "n", "pos", "component", "both")]), "join-tries")
-    nf = tries.join(near, ["key", "block"]).where("x_doc_id <> doc_id and x_component <> component")
-    nf = nf.where(pairs.possible("x_n", "x_pos", "n", "pos") | pairs.possible("n", "pos", "x_n", "x_pos"))
-    nf = nf.where(f"x_both is null or {100 + p}L * (x_both + n - both) >= {p}L * (x_n + n)")
+    nf = tries.join(near, ["key", "block"]).where("x_component <> component").where(p.either("x_n", "x_pos", "n", "pos"))
+    nf = nf.where(f"x_both is null or {h}L * (x_both + beyond) >= {q}L * (x_n + n)")
     nf = nf.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
-    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    asked = ff.union(nf).distinct().join(done, ["a", "b"], "left_anti")
-    return materialize(pairs.bounded(asked, shown).where("ok").select("a", "b"), "join-rest")
+    out = ff.union(nf).distinct().join(_either_way(answers), ["a", "b"], "left_anti")
+    return materialize(p.bounded(out, shown).where("ok").select("a", "b"), "join-rest")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
