@@ -39,7 +39,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: A vocabulary file is shipped to the executors only up to this size.
 MAX_FILE = 64 << 20
 #: Words remembered by a worker.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 
 
 def default_path() -> str:
