@@ -30,12 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words of these characters are normalised and split here; all Unicode versions agree on them.
+_PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]+")
+#: The normalising steps for which that is right: canonical composition, white space, lower case.
+_STEPS = ["NFC", "Replace", "Lowercase"]
+#: Up to so many symbols, merging scans a list instead of keeping a heap.
+_SHORT = 32
 #: A vocabulary file is shipped to the executors only up to this size.
 MAX_FILE = 64 << 20
 #: Words remembered by a worker.
@@ -68,6 +75,11 @@ class Codec:
         assert model["type"] == "BPE" and not model.get("byte_fallback") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
         library = Tokenizer.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.pattern = self._own_pattern(spec)
+        # Bytes as the characters that stand for them in the vocabulary.
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        others = [b for b in range(256) if b not in set(printable)]
+        self.chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -85,9 +97,22 @@ class Codec:
         self._spines(parts)
         # Only tokens that their own merging yields may be proposed.
         self.proposals = {t: i for t, i in self.ids.items() if i not in parts or self._itself(t, i)}
-        self.longest = max(map(len, self.proposals), default=1)
+        self.longest: dict[str, int] = {}
+        for t in self.proposals:
+            self.longest[t[:1]] = max(len(t), self.longest.get(t[:1], 1))
         self.known: dict[bytes, tuple[bytes, str]] = {}
 
+    @staticmethod
+    def _own_pattern(spec: dict):
+        """The file's word pattern, if its steps are those that ``pieces`` can take by itself."""
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if steps != _STEPS or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+            return None
+        split, level = splits
+        own = split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+        return regex.compile(split["pattern"]["Regex"]) if own and "Regex" in split["pattern"] else None
+
     def _itself(self, token: str, i: int) -> bool:
         return self.merge(self._symbols(token)) == [i]
 
@@ -143,7 +168,7 @@ class Codec:
         """Greedy longest match over a piece whose end mark is its last token's; None where nothing matches."""
         n, i, out = len(piece), 0, []
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + self.longest.get(piece[i], 1)), i, -1):
                 t = self.proposals.get(piece[i:j] + self.suffix if j == n else piece[i:j])
                 if t is not None:
                     break
@@ -156,6 +181,8 @@ class Codec:
     def merge(self, symbols: list[int]) -> list[int]:
         """Exact merging: always the least rank, from the left; n log n by a heap over a linked list."""
         n = len(symbols)
+        if n <= _SHORT:
+            return self._merge_short(list(symbols))
         ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
 
@@ -180,11 +207,30 @@ class Codec:
             push(i)
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get, none = self.merges.get, (1 << 60, -1)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best is none:
+                break
+            k = ranks.index(best)
+            ids[k : k + 2] = [best[1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+        return ids
+
     def pieces(self, text: str) -> Iterator[str | int]:
         """Pieces to encode, and ids of special tokens, in order."""
         for k, part in enumerate(self.border.split(text) if self.border else [text]):
             if k % 2:
                 yield self.special[part]
+            elif self.pattern is not None and _PLAIN.fullmatch(part):
+                for piece in self.pattern.findall(part.lower()):
+                    yield piece if piece.isascii() else "".join([self.chars[b] for b in piece.encode()])
             elif part:
                 for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)):
                     if piece:
