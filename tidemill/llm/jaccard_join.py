@@ -275,11 +275,12 @@ class _Pairs:
 
 
 def _answers(docs: DataFrame, pairs: DataFrame, shown: DataFrame, p: _Pairs, width: int) -> DataFrame:
-    """``a, b, both, linked`` of each pair: the overlap, or a bound of it that was enough to tell that they do not link."""
+    """``a, b, both, most, linked`` of each pair: the overlap, null where a bound was enough to tell that they do not link, and the most it can be."""
     asked = materialize(p.bounded(pairs, shown), "join-asked")
     tested = _compare(docs, asked.where("ok").select("a", "b"), width, "join-tested")
     told = tested.groupBy("a", "b").agg(F.max("both").alias("both"), F.max(F.expr(p.linked)).alias("linked"))
-    out = materialize(told.union(asked.where("not ok").select("a", "b", "most", F.lit(False))), "join-answers")
+    told = told.select("a", "b", "both", F.col("both").alias("most"), "linked")
+    out = materialize(told.union(asked.where("not ok").select("a", "b", F.lit(None).cast("long"), "most", F.lit(False))), "join-answers")
     release(asked, tested)
     return out
 
@@ -312,11 +313,12 @@ def _either_way(answers: DataFrame) -> DataFrame:
 def _rest(mixed: DataFrame, leaders: DataFrame, shown: DataFrame, answers: DataFrame, p: _Pairs) -> DataFrame:
     """Pairs of a list that are neither linked through leaders nor excluded by their answers."""
     heads = leaders.select("key", "block", F.col("lead.doc_id").alias("leader"))
-    known = answers.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both").union(answers.select(F.col("b"), F.col("a"), "both")).groupBy("leader", "doc_id").agg(F.min("both").alias("both"))
+    known = answers.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both", "most").union(answers.select(F.col("b"), F.col("a"), "both", "most"))
+    known = known.groupBy("leader", "doc_id").agg(F.max("both").alias("both"), F.min("most").alias("most"))
     known = materialize(known, "join-known")
     owner = mixed.select("key", F.col("doc_id").alias("leader"), F.col("component").alias("led")).distinct()
     x = mixed.join(heads, ["key", "block"]).join(owner, ["key", "leader"]).join(known, ["leader", "doc_id"], "left")
-    # How far each set may reach beyond its block's leader.
+    # How far each set may reach beyond its block's leader: by exact overlaps alone, as a bound from above would make it too small.
     beyond = F.when(F.col("leader") == F.col("doc_id"), 0).otherwise(F.col("n") - F.coalesce("both", F.lit(0)))
     x = materialize(x.select("key", "block", "doc_id", "n", "pos", "component", "leader", beyond.alias("beyond"), (F.col("component") == F.col("led")).alias("near")), "join-rows")
     near, far = x.where("near"), x.where("not near")
@@ -332,7 +334,7 @@ def _rest(mixed: DataFrame, leaders: DataFrame, shown: DataFrame, answers: DataF
     asked = far.withColumn("at", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))).unionByName(near.withColumn("at", F.col("block") - 1))
     tries = asked.select("key", F.col("at").alias("block"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component")])
     tries = tries.join(stats, ["key", "block"]).where("x_component <> component")
-    tries = tries.join(known.select("leader", F.col("doc_id").alias("x_doc_id"), F.col("both").alias("x_both")), ["leader", "x_doc_id"], "left")
+    tries = tries.join(known.select("leader", F.col("doc_id").alias("x_doc_id"), F.col("most").alias("x_both")), ["leader", "x_doc_id"], "left")
     tries = tries.where(f"100L * x_n >= {q}L * least_n and 100L * most_n >= {q}L * x_n and (x_both is null or {h}L * (x_both + most_beyond) >= {q}L * (x_n + least_n))")
     tries = materialize(tries.select("key", "block", *[f"x_{c}" for c in ("doc_id", "n", "pos", "component", "both")]), "join-tries")
     nf = tries.join(near, ["key", "block"]).where("x_component <> component").where(p.either("x_n", "x_pos", "n", "pos"))
