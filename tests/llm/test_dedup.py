@@ -115,6 +115,22 @@ def test_a_bound_of_the_overlap_with_a_leader_excludes_no_pair(spark):
     assert [(r.a, r.b) for r in J._rest(mixed, leaders, shown, answers, pairs).collect()] == [(2, 3)]
 
 
+def test_jaccard_join_counts_all_links(spark):
+    """Links inside components too, of sets that are similar to a hub and not to each other, equal sets and repeated ids."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 100 + 4 * k])) for k in range(20)]
+    rows += [(100 + k, " ".join(f"z{k}" if j in (7 * k % 290, (7 * k + 150) % 290) else f"v{j}" for j in range(300))) for k in range(1, 25)]
+    rows += [(200 + k, " ".join([f"v{j}" for j in range(300)] + [f"y{k}_{j}" for j in range(10 + 5 * k)])) for k in range(12)]
+    rows += [(300, rows[30][1]), (300, rows[5][1]), (301, rows[30][1].upper()), (5, rows[5][1]), (None, rows[5][1]), (302, None), (303, "")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    similar = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    want = [(str(i), len(sets[m]), 0 if i is None else sum(1 for k, (j, _) in enumerate(rows) if k != m and j is not None and similar(sets[m], sets[k]))) for m, (i, _) in enumerate(rows)]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == sorted(want)
+    comps = jaccard_brute(rows)
+    assert all(r.component_id == comps[r.doc_id] for r in got)
+
+
 def suffix_brute(data: list[bytes], length: int) -> list[bytes]:
     starts = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []

@@ -17,6 +17,11 @@ Leaders are drawn anew, among representatives of components that still meet in a
 until a round finds no link.  Only what neither level can skip is compared, by rebuilding
 both shingle sets from the whole texts.
 
+Every link is counted, inside components too.  One set of each component, the hub, is the
+one that most of its sets were compared with: their overlaps with the hub bound those of
+their pairs from below and above.  Pairs that the lower bound links are counted by a
+histogram, without being listed; those that neither bound settles are compared.
+
 Token order: a set first shows the least hashes of its tokens, half as many again as its
 prefix needs.  Tokens shown by more than ``FREQUENT`` sets come last in the order, so
 they leave the prefix of every set that has rarer ones; sets that lack rarer ones among
@@ -24,7 +29,8 @@ those shown (large groups of near copies) show all their tokens.  The counts are
 and cover all sets; they decide cost, never results.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows with
-one id are one node, linked by any of their texts; a null id links with nothing and has
+one id are in one component, linked by any of their texts; links are counted by row, to
+all other rows with an id, one's own included, whose sets are similar; a null id links with nothing and has
 a null component; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -171,11 +177,11 @@ def _compare(docs: DataFrame, pairs: DataFrame, width: int, tag: str) -> DataFra
 
 
 def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The join: ``(members, links, comps)``.
+    """The join: ``(members, counts, comps)``.  An id may stand for one text only.
 
-    ``members``: doc_id, n, rep (the smallest id with an equal set).  ``links``: a, b of
-    linked representatives that were compared; further links follow from
-    these through a common leader.  ``comps``: node, component over representatives.
+    ``members``: doc_id, n, rep (the smallest id with an equal set).  ``counts``: rep,
+    n_links, the rows that link with a row of rep's class.  ``comps``: node, component over
+    representatives.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kinds = "doc_id long, n long, f1 long, f2 long, keys array<long>"
@@ -230,10 +236,11 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         more = _answers(known, rest, shown, pairs, width)
         links = links.union(more.where("linked").select("a", "b"))
         comps = components(links)
-    release(rest, mixed, lists, leaders, shown)
-    # Repeated ids: one id may stand for several sets, which its node ties together.
+        answers = answers.unionByName(more)
     members = rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    return members, links, comps
+    counts = materialize(_counted(known, members, lists, shown, answers, comps, pairs, width), "join-counts")
+    release(rest, mixed, lists, leaders, shown)
+    return members, counts, comps
 
 
 class _Pairs:
@@ -344,18 +351,63 @@ def _rest(mixed: DataFrame, leaders: DataFrame, shown: DataFrame, answers: DataF
     return materialize(p.bounded(out, shown).where("ok").select("a", "b"), "join-rest")
 
 
+def _counted(docs: DataFrame, members: DataFrame, lists: DataFrame, shown: DataFrame, answers: DataFrame, comps: DataFrame, p: _Pairs, width: int) -> DataFrame:
+    """``rep, n_links``: the other rows that link with a row of each representative's class."""
+    h, q = 100 + p.percent, p.percent
+    weights = materialize(members.where("rep is not null and doc_id is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("w")), "join-weights")
+    sets = shown.select("doc_id", F.col("n").cast("long").alias("n")).join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id").join(weights, "doc_id")
+    sets = materialize(sets, "join-sets")
+    exact = answers.where("both is not null")
+    ends = exact.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "both").union(exact.select("b", "a", "both")).dropDuplicates(["hub", "doc_id"])
+    ends = materialize(ends.union(sets.select(F.col("doc_id").alias("hub"), "doc_id", F.col("n").alias("both"))), "join-ends")
+    hubs = ends.join(sets.select("doc_id", "component"), "doc_id").groupBy("component", "hub").agg(F.count("*").alias("m")).groupBy("component").agg(F.max(F.struct("m", "hub")).alias("top"))
+    hubs = hubs.select("component", F.col("top.hub").alias("hub")).join(shown.select(F.col("doc_id").alias("hub"), F.col("n").cast("long").alias("hub_n")), "hub")
+    sets = sets.join(hubs, "component").join(ends, ["hub", "doc_id"], "left").drop("hub")
+    sets = materialize(sets.withColumn("f", F.expr(f"{h}L * both - {q}L * n")).withColumn("c", F.expr(f"{h}L * hub_n")), "join-reach")
+    # Pairs that their overlaps with the hub link: |x & y| >= |x & hub| + |y & hub| - |hub|.
+    bars = materialize(sets.where("f is not null").groupBy("component", "c", "f").agg(F.sum("w").alias("w")), "join-bars")
+    sure = bars.select("component", "c", "f").join(bars.select("component", F.col("f").alias("other"), "w"), "component").where("f + other >= c")
+    sure = sets.join(sure.groupBy("component", "f").agg(F.sum("w").alias("sure")), ["component", "f"]).select("doc_id", F.expr("sure - if(2 * f >= c, w, 0)").alias("links"))
+    # Pairs that they do not settle, from the lists.
+    rows = lists.drop("n").join(sets, "doc_id")
+    cols = ("doc_id", "n", "pos", "both", "f")
+    left = rows.where(p.leading).select("key", "component", *[F.col(c).alias(f"x_{c}") for c in cols], F.col("block").alias("x_block"))
+    opened = rows.withColumn("x_block", F.explode(F.array("block", F.col("block") - 1)))
+    open_ = f"(x_both is null or both is null or (x_f + f < c and {h}L * least(x_both + n - both, both + x_n - x_both) >= {q}L * (x_n + n)))"
+    unsure = left.join(opened, ["key", "component", "x_block"]).where("x_doc_id <> doc_id").where(p.possible("x_n", "x_pos", "n", "pos")).where(open_)
+    unsure = materialize(unsure.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct(), "join-unsure")
+    told = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    unsure = materialize(unsure.join(told, ["a", "b"], "left"), "join-told")
+    more = _answers(docs, unsure.where("linked is null").select("a", "b"), shown, p, width)
+    linked = unsure.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    both = linked.union(linked.select("b", "a"))
+    compared = both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("w").alias("links"))
+    all_ = weights.select("doc_id", (F.col("w") - 1).alias("links")).union(sure).union(compared)
+    return all_.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("n_links"))
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
-    members, _, comps = linked_classes(df, id_col, text_col, width, percent)
+    """One row per input row: ``doc_id, n_shingles, component_id`` (smallest id reachable by links) and ``n_links``."""
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "join-repeated")
+    several = not repeated.isEmpty()
+    if several:
+        # Each text of a repeated id is a node of its own; the id ties their components together.
+        docs = materialize(docs.join(repeated, "doc_id", "left").select(F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("id")), "join-nodes")
+    members, counts, comps = linked_classes(docs, "doc_id", "text", width, percent)
     members = materialize(members, "join-members")
-    repeated = members.groupBy("doc_id").agg(F.count_distinct("rep").alias("sets"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("sets > 1")
-    if not repeated.isEmpty():
-        # An id with several texts ties their classes together.
-        ties = members.where("rep is not null").join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-        comps = components(ties.union(comps.select(F.col("component"), F.col("node"))))
     label = comps.select(F.col("node").alias("rep"), "component")
-    out = members.join(label, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    if several:
+        names = docs.where("id is not null").select("doc_id", "id").distinct()
+        ids = materialize(members.join(names, "doc_id", "left").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep", "doc_id")), "join-ids")
+        least = ids.where("id is not null").groupBy("component").agg(F.min("id").alias("low"))
+        ties = components(ids.where("id is not null").join(least, "component").select(F.col("id").alias("a"), F.col("low").alias("b")))
+        out = ids.join(ties.select(F.col("node").alias("id"), F.col("component").alias("tied")), "id", "left").select(F.col("id").alias("doc_id"), "n", "rep", F.coalesce("tied", "id").alias("component"))
+    else:
+        out = members.join(label, "rep", "left")
+    out = out.join(counts, "rep", "left")
+    links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"), links.alias("n_links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
