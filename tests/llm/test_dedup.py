@@ -177,6 +177,21 @@ def test_line_dedup(spark):
     assert L.query(df.limit(0)).count() == 0
 
 
+def test_line_dedup_catches_short_blocks_amid_other_lines(spark):
+    blocks = [[f"block {n} {k} line {j}" for j in range(n)] for n in (2, 3, 4, 5) for k in range(10)]
+    rows, want = [], {}
+    for doc in range(4):
+        own = [[f"own {doc} {k} {j}" for j in range(1 + (k + doc) % 4)] for k in range(len(blocks))]
+        order = blocks[doc:] + blocks[:doc]
+        rows.append((doc, "\n".join(x for pair in zip(own, order) for part in pair for x in part)))
+        want[doc] = rows[0][1] if not doc else "\n".join(x for part in own for x in part)
+    # Repeats inside one document: the first two lines stay.
+    rows += [(10, "same\nsame\nsame\nsame"), (11, "same\nsame\nother"), (12, "\n\nx\n\ny"), (13, "z\n\ny")]
+    want |= {10: "same\nsame", 11: "other", 12: rows[6][1], 13: rows[7][1]}
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 @given(st.lists(st.sampled_from(["", "a", "bb", "a line", "é"]), min_size=1, max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_chunks_tile_the_text(lines):

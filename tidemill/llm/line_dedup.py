@@ -1,10 +1,12 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks and windows of lines.
 
 A rolling hash over a text's line hashes chooses chunk boundaries, so equal stretches of
 lines are cut alike wherever they stand and whatever precedes them.  A chunk of at least
 ``MIN_LINES`` lines that occurs more than once in the corpus stays at its first place
 (smallest document id, then position); later ones are removed once their bytes have been
-compared with the first one's.
+compared with the first one's.  Chunks alone miss short repeats amid other lines, so every
+window of ``MIN_LINES`` neighbouring lines that are not blank is looked up in the same way.
+A window that overlaps its own first place stays, so the first copy of a line always does.
 
 Hashes are grouped with partial aggregation, and every join has plain shuffled sides, so
 a chunk found in a third of all documents does not land in one task.
@@ -63,6 +65,16 @@ def chunks(data: bytes, min_lines: int = MIN_LINES, divisor: int = DIVISOR, wind
     return out
 
 
+def windows(data: bytes, min_lines: int = MIN_LINES) -> Iterator[tuple[int, int]]:
+    """(first byte, byte after the last line) of each ``min_lines`` neighbouring lines that are not blank."""
+    at, run = 0, []
+    for line in data.split(b"\n"):
+        run = [*run[-min_lines + 1 :], at] if min_lines > 1 and line.strip() else [at] if line.strip() else []
+        at += len(line) + 1
+        if len(run) == min_lines:
+            yield run[0], at - 1
+
+
 def _chunks(min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +84,12 @@ def _chunks(min_lines: int):
                     if not t:
                         continue
                     data = t.encode("utf-8", "surrogatepass")
-                    for a, b, n in chunks(data, min_lines):
-                        if n >= min_lines and not data[a:b].isspace() and b > a:
-                            rows.append(i)
-                            prints.append(hashlib.blake2b(data[a:b], digest_size=16).digest())
-                            starts.append(a)
-                            stops.append(b)
+                    whole = [(a, b) for a, b, n in chunks(data, min_lines) if n >= min_lines and not data[a:b].isspace() and b > a]
+                    for a, b in dict.fromkeys([*whole, *windows(data, min_lines)]):
+                        rows.append(i)
+                        prints.append(hashlib.blake2b(data[a:b], digest_size=16).digest())
+                        starts.append(a)
+                        stops.append(b)
                 both = np.frombuffer(b"".join(prints), dtype=np.int64).reshape(-1, 2)
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -89,13 +101,15 @@ def _chunks(min_lines: int):
 
 
 def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, mark, start, stop`` of each chunk to remove: byte for byte equal to an earlier one."""
+    """``doc_id, mark, start, stop`` of each chunk or window to remove: byte for byte equal to an earlier one."""
     docs = marked(df, id_col, text_col)
     kind = dict(docs.dtypes)["doc_id"]
     found = materialize(docs.mapInArrow(_chunks(min_lines), f"doc_id {kind}, mark long, h1 long, h2 long, start long, stop long"), "line-chunks")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "mark")
     first = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").drop("n"), "line-first")
     members = found.join(first, ["h1", "h2"]).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("mark") == F.col("first.mark")))
+    # Neither the first place nor what overlaps it goes.
+    members = members.where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark")) | F.col("is_first") | (F.col("start") >= F.col("first.start") + F.col("stop") - F.col("start")))
     # The same text under the same id is one document: its other rows' chunks are first as well.
     asked = members.groupBy(*KEY).agg(F.collect_set(F.struct("h1", "h2", "start", "stop", "is_first")).alias("asked")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked")
     held = docs.join(asked.hint("merge"), docs.doc_id.eqNullSafe(F.col("_id")) & (docs.mark == F.col("_mark"))).select(*KEY, F.encode("text", "UTF-8").alias("bytes"), F.explode("asked").alias("x"))
