@@ -305,7 +305,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``df`` with its texts less their repeats, without the texts of which nothing but white space is left."""
+    """``df`` with its texts less their repeats, without the texts of which nothing but white space is left.
+
+    No copy of a repeat stays, the first one neither.
+    """
     spans = materialize(repeated_spans(df, id_col, text_col, length), "suffix-spans")
     x = cut(df, spans, id_col, text_col, as_text=True)
     text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
