@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemill.llm import packing as P
 from tidemill.llm import quality_knn as K
@@ -41,7 +42,17 @@ def test_rules_reject_and_keep(spark):
     kept = Q.keep_good(df)
     assert kept.columns == df.columns
     assert [r.doc_id for r in kept.collect()] == [1]
-    assert "Python" not in kept._jdf.queryExecution().toString()
+    assert kept.collect()[0].quality_metrics == "x"
+    judged = Q.judge(df)
+    assert judged.columns == [*df.columns, "quality_metrics_", "quality_verdict"]
+    assert judged.where("quality_verdict.kept").count() == 1
+
+
+def test_filter_stays_above_the_measuring(spark):
+    plan = Q.keep_good(spark.createDataFrame([], SCHEMA).withColumn("x", F.rand()))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert len(filters) == 1 and "Generate" in plan[plan.index(filters[0]) :]
+    assert not re.search(r"xxhash64|lambda|split", filters[0]) and "Python" not in plan
 
 
 def brute_buckets(histogram, k):

@@ -6,19 +6,20 @@ so a scan evaluates all rules in one pass without user functions and without a s
 
 Defined results: a null text has no words, so every count is 0 and it fails the base
 rule; an empty table gives an empty result; repeated rows are judged one by one; extra
-columns are carried through by ``apply_rules`` unless they have a metric's name, in which
-case the metric replaces nothing: metrics live in one struct column, ``quality_metrics``.
+columns are carried through, whatever their names: ``judge`` adds two struct columns, with
+underscores after their names where the table has those already; ``keep_good`` adds none.
 Long texts are handled by hashing and sorting word windows, never by comparing all pairs.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import free_name, words
 
 # Frequent function words of English, French, German and Spanish without accents.
 STOP_WORDS = (
@@ -60,6 +61,9 @@ RULES = (
     Rule("ellipsis_line_share", None, 0.3),
 )
 
+#: What ``measure`` counts.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_capitals", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
+
 #: Each ratio as SQL over the counts; both Spark and DuckDB read it.
 RATIOS = {
     "mean_word_chars": "cast(word_chars as double) / greatest(n_words, 1)",
@@ -90,16 +94,16 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the struct column ``quality_metrics``: every count that the rules use.
+    """``_row`` (the caller's row as one struct) and ``_m``, the struct of every count that the rules use.
 
     The steps are separate projections so that each array is made once; Spark keeps
-    them apart because later steps refer to them repeatedly.
+    them apart because later steps refer to them repeatedly.  A row's counts come out of
+    a generator over one element: a filter on them stays above it, where the optimiser
+    would else write the whole chain out again inside a filter at the scan.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c != "quality_metrics"]
     has_word = r"[^\x20\x09-\x0D]"
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    row = F.struct(*kept)
-    x = df.select(row.alias("_row"), t.alias("_t"))
+    x = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), t.alias("_t"))
     x = x.select("_row", "_t", words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n", -1), lambda s: s.rlike(has_word)).alias("_l"))
     # 64-bit hashes of the three-word windows; two different windows of one text share one with odds of n * n / 2**65.
     grams = "arrays_zip(slice(_w, 1, size(_w) - 2), slice(_w, 2, size(_w) - 2), slice(_w, 3, size(_w) - 2))"
@@ -135,26 +139,28 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_l", lambda s: s.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("_l", lambda s: s.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
     )
-    return x.select("_row.*", metrics.alias("quality_metrics"))
+    return x.select("_row", F.explode(F.array(metrics)).alias("_m"))
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with ``quality_metrics`` and ``quality_verdict`` (``base_failed``, ``kept``)."""
-    x = measure(df, text)
-    fields = x.schema["quality_metrics"].dataType.names
+def _on_struct(sql: str) -> Column:
+    """Rules over the fields of ``_m``."""
+    return F.expr(re.sub(r"\b(" + "|".join(COUNTS) + r")\b", r"_m.\1", sql))
 
-    def on_struct(sql: str) -> str:
-        import re
 
-        return re.sub(r"\b(" + "|".join(fields) + r")\b", r"quality_metrics.\1", sql)
+def _judged(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    return measure(df, text).select("_row", "_m", _on_struct(BASE_SQL).alias("_base"), _on_struct(rules_sql(rules)).alias("_kept"))
 
-    verdict = F.struct(F.expr(on_struct(BASE_SQL)).alias("base_failed"), F.expr(on_struct(rules_sql(rules))).alias("kept"))
-    return x.withColumn("quality_verdict", verdict)
+
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``df`` with the structs ``quality_metrics`` and ``quality_verdict`` (``base_failed``, ``kept``) as last columns."""
+    x = _judged(df, text, rules)
+    verdict = F.struct(F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))
+    return x.select("_row.*", F.col("_m").alias(free_name(df, "quality_metrics")), verdict.alias(free_name(df, "quality_verdict")))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that pass every rule, with the columns of ``df``."""
-    return judge(df, text, rules).where("quality_verdict.kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that pass every rule, with the columns of ``df``, whatever their names."""
+    return _judged(df, text, rules).where("_kept").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
