@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]+")
 #: The normalising steps for which that is right: canonical composition, white space, lower case.
 _STEPS = ["NFC", "Replace", "Lowercase"]
+#: The alternative of a word pattern that takes letters.
+_LETTERS = r"[\p{L}]+"
 #: Up to so many symbols, merging scans a list instead of keeping a heap.
 _SHORT = 32
 #: A vocabulary file is shipped to the executors only up to this size.
@@ -76,6 +79,9 @@ class Codec:
         library = Tokenizer.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.pattern = self._own_pattern(spec)
+        # Whether the pattern takes a run of letters whole: it has that alternative, and none before it begins with a letter.
+        options = self.pattern.pattern.split("|") if self.pattern is not None else []
+        self.letters = _LETTERS in options and not any(o[:1].isalpha() or o[:1] in "[(\\." for o in options[: options.index(_LETTERS)])
         # Bytes as the characters that stand for them in the vocabulary.
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         others = [b for b in range(256) if b not in set(printable)]
@@ -95,11 +101,22 @@ class Codec:
                 self.merges[pair] = (rank, new)
                 parts.setdefault(new, (rank, *pair))
         self._spines(parts)
-        # Only tokens that their own merging yields may be proposed.
-        self.proposals = {t: i for t, i in self.ids.items() if i not in parts or self._itself(t, i)}
+        # Only tokens that their own merging yields may be proposed: inside a piece, or (less the end mark) at its end.
+        self.inside: dict[str, int] = {}
+        self.at_end: dict[str, int] = {}
+        for t, i in self.ids.items():
+            if i not in parts or self._itself(t, i):
+                if self.suffix and t.endswith(self.suffix):
+                    self.at_end[t[: -len(self.suffix)]] = i
+                else:
+                    self.inside[t] = i
+        if not self.suffix:
+            self.at_end = self.inside
+        # The longest proposal that begins with three given characters; without any, two characters are tried at most.
         self.longest: dict[str, int] = {}
-        for t in self.proposals:
-            self.longest[t[:1]] = max(len(t), self.longest.get(t[:1], 1))
+        for t in [*self.inside, *self.at_end]:
+            self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 2))
+        self.pieces_known: dict[str, tuple[bytes, str]] = {}
         self.known: dict[bytes, tuple[bytes, str]] = {}
 
     @staticmethod
@@ -167,11 +184,20 @@ class Codec:
     def propose(self, piece: str) -> list[int] | None:
         """Greedy longest match over a piece whose end mark is its last token's; None where nothing matches."""
         n, i, out = len(piece), 0, []
+        inside, longest = self.inside, self.longest
         while i < n:
-            for j in range(min(n, i + self.longest.get(piece[i], 1)), i, -1):
-                t = self.proposals.get(piece[i:j] + self.suffix if j == n else piece[i:j])
+            j = i + longest.get(piece[i : i + 3], 2)
+            if j >= n:
+                t = self.at_end.get(piece[i:])
+                if t is not None:
+                    out.append(t)
+                    return out
+                j = n - 1
+            while j > i:
+                t = inside.get(piece[i:j])
                 if t is not None:
                     break
+                j -= 1
             else:
                 return None
             out.append(t)
@@ -223,42 +249,64 @@ class Codec:
                 ranks[k - 1] = get((ids[k - 1], ids[k]), none)
         return ids
 
+    def _chars(self, piece: str) -> str:
+        """A piece's bytes as the characters that stand for them."""
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
+
     def pieces(self, text: str) -> Iterator[str | int]:
         """Pieces to encode, and ids of special tokens, in order."""
         for k, part in enumerate(self.border.split(text) if self.border else [text]):
             if k % 2:
                 yield self.special[part]
             elif self.pattern is not None and _PLAIN.fullmatch(part):
-                for piece in self.pattern.findall(part.lower()):
-                    yield piece if piece.isascii() else "".join([self.chars[b] for b in piece.encode()])
+                yield from map(self._chars, self.pattern.findall(part.lower()))
             elif part:
                 for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)):
                     if piece:
                         yield piece
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, all words verified together."""
-        parts = [list(self.pieces(w.decode("utf-8", "surrogatepass"))) for w in words]
-        pieces = list(dict.fromkeys(p for ps in parts for p in ps if isinstance(p, str)))
+    def _split(self, words: list[bytes]) -> list[list[str | int]]:
+        """The pieces of each word; one of plain letters alone is a single piece where the file's pattern takes letters whole."""
+        out = []
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            if self.letters and (low := text.lower()).isalpha() and _PLAIN.fullmatch(text):
+                out.append([self._chars(low)])
+            else:
+                out.append(list(self.pieces(text)))
+        return out
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), "".join([self.names[i] + " " for i in ids])
+
+    def encode_pieces(self, pieces: list[str]) -> None:
+        """Remember the encodings of new pieces, all of them verified together."""
         guesses = [self.propose(p) for p in pieces]
         sizes = np.array([len(g) if g else 0 for g in guesses], dtype=np.int64)
         flat = np.fromiter((t for g in guesses if g for t in g), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(pieces)), sizes)
         good = np.array([g is not None for g in guesses], dtype=bool)
-        inner = np.flatnonzero(owner[1:] == owner[:-1])
-        ok = self.apart(flat[inner], flat[inner + 1])
-        good[owner[inner[~ok]]] = False
-        found = {p: g if sure else self.merge(self._symbols(p + self.suffix)) for p, g, sure in zip(pieces, guesses, good.tolist(), strict=True)}
-        return [[t for p in ps for t in (found[p] if isinstance(p, str) else (p,))] for ps in parts]
+        near = np.flatnonzero(owner[1:] == owner[:-1])
+        ok = self.apart(flat[near], flat[near + 1])
+        good[owner[near[~ok]]] = False
+        for p, g, sure in zip(pieces, guesses, good.tolist(), strict=True):
+            self.pieces_known[p] = self._packed(g if sure else self.merge(self._symbols(p + self.suffix)))
 
     def learn(self, words: set[bytes]) -> None:
-        """Remember the encodings of words."""
+        """Remember the encodings of words, and of their pieces."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
+            self.pieces_known.clear()
             new = list(words)
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.known[w] = (np.array(ids, dtype="<u4").tobytes(), "".join(self.names[i] + " " for i in ids))
+        parts, known = self._split(new), self.pieces_known
+        self.encode_pieces(list(dict.fromkeys(p for ps in parts for p in ps if isinstance(p, str) and p not in known)))
+        for w, ps in zip(new, parts, strict=True):
+            if len(ps) == 1 and isinstance(ps[0], str):
+                self.known[w] = known[ps[0]]
+            else:
+                got = [known[p] if isinstance(p, str) else self._packed([p]) for p in ps]
+                self.known[w] = (b"".join([x for x, _ in got]), "".join([t for _, t in got]))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Packed little-endian ids and the decoded text of each text."""
@@ -267,7 +315,8 @@ class Codec:
         known = self.known
         for ws in split:
             got = [known[w] for w in ws]
-            yield b"".join([x for x, _ in got]), "".join([t for _, t in got])[:-1]
+            ids, names = zip(*got, strict=True) if got else ((), ())
+            yield b"".join(ids), "".join(names)[:-1]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.names[i] for i in np.frombuffer(ids, dtype="<u4").tolist() if i in self.names)
