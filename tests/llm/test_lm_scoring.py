@@ -48,6 +48,7 @@ def test_query_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(M, "BLOCK_BYTES", block)
     monkeypatch.setattr(M, "PIECE", 3000)
     rows = texts(n=20)
+    rows += [rows[5]] * 6 + [(None, None, None, None, None)] * 3 + [(None, "no id here", "fr", None, None)] * 2
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
     want = brute(rows, [not h for h in held], M.ORDER)
     expected = sorted((str(r[0]), h, *[round(x, 6) for x in w]) for r, h, w in zip(rows, held, want))

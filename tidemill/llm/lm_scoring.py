@@ -15,8 +15,8 @@ block receiving just the strings that it holds.
 Adaptive: ``adaptive_log10`` learns from the document itself as it goes.
 
 Defined results: null and empty texts are the end token alone; a null id belongs to the
-training rows in the query; without training rows every byte costs log10(256); repeated
-rows count and score one by one; an empty table gives an empty result; other columns are
+training rows in the query; without training rows every byte costs log10(256); equal
+rows count and score as often as they are there, though they are worked on once; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -37,8 +37,9 @@ ORDER = 5
 #: Bytes of text in a block of documents that is scored together.
 BLOCK_BYTES = 12 << 20
 PIECE = 4 << 20
+#: Values worked on together, so that they stay in the processor's cache.
+CACHED = 1 << 15
 END = b"\n"
-GRAM, WORD = 0, 1
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -47,7 +48,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+    """A negative number of 63 bits; strings are packed into positive ones."""
+    return ~(xxhash.xxh3_64_intdigest(word) >> 1)
 
 
 def _pieces(texts: pa.ChunkedArray):
@@ -71,9 +73,11 @@ def grams(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     out = np.zeros(max(0, len(joined) - order), dtype=np.int64)
-    for j in range(order + 1):
-        out <<= 8
-        out |= joined[j : j + len(out)]
+    for at in range(0, len(out), CACHED):
+        part = out[at : at + CACHED]
+        for j in range(order + 1):
+            part <<= 8
+            part |= joined[at + j : at + j + len(part)]
     # A document's positions are followed by those of the next one's padding.
     keep = np.ones(len(out), dtype=bool)
     ends = np.cumsum(sizes + order)[:-1] - order
@@ -82,32 +86,43 @@ def grams(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], sizes
 
 
+def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the sums of ``counted``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counted[order], first) if len(first) else np.zeros(0, np.int64)
+
+
 def _count(order: int):
     """Distinct strings and words of a block, with their numbers in training documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        train = table.column("train").to_numpy(zero_copy_only=False)
+        # How often each document counts: never outside training, else as often as its row is there.
+        weight = table.column("times").to_numpy() * table.column("train").to_numpy(zero_copy_only=False)
         block = table.column("block")[0].as_py()
         strings, words = [], Counter()
         for first, docs in _pieces(table.column("text")):
             g, sizes = grams(docs, order)
-            mine = np.repeat(train[first : first + len(docs)], sizes)
-            strings.append(np.unique(g[mine], return_counts=True))
-            others = np.unique(g[~mine])
-            strings.append((others, np.zeros(len(others), dtype=np.int64)))
-            for t, d in zip(train[first : first + len(docs)], docs, strict=True):
-                if t:
+            mine = weight[first : first + len(docs)]
+            each = np.repeat(mine, sizes)
+            if len(mine) and mine.max() > 1:
+                strings.append(_distinct(g, each))
+            else:
+                strings.append(np.unique(g[each == 1], return_counts=True))
+                others = np.unique(g[each == 0])
+                strings.append((others, np.zeros(len(others), dtype=np.int64)))
+            for n, d in zip(mine.tolist(), docs, strict=True):
+                if n == 1:
                     words.update(d)
                 else:
                     for x in d:
-                        words[x] += 0
-        u, inverse = np.unique(np.concatenate([x[0] for x in strings]), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([x[1] for x in strings]), minlength=len(u)).astype(np.int64)
-        keys = np.fromiter((word_key(w) for w in words), dtype=np.int64, count=len(words))
+                        words[x] += n
+        u, n = _distinct(np.concatenate([x[0] for x in strings]), np.concatenate([x[1] for x in strings]))
+        keys = np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
         return pa.table(
             {
-                "block": pa.array(np.full(len(u) + len(words), block), pa.int64()),
-                "kind": pa.array(np.repeat(np.array([GRAM, WORD], dtype=np.int8), [len(u), len(words)])),
+                "block": pa.array(np.full(len(u) + len(words), block, dtype=np.int32)),
                 "key": pa.array(np.concatenate([u, keys])),
                 "n": pa.array(np.concatenate([n, np.fromiter(words.values(), dtype=np.int64, count=len(words))])),
             }
@@ -131,6 +146,9 @@ class _Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The values of keys, all of which are there."""
+        return np.concatenate([self._find(keys[i : i + CACHED]) for i in range(0, len(keys), CACHED)]) if len(keys) else self.values[:0]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
         at = self.starts[self._hash(keys).astype(np.int64)]
         left = np.flatnonzero(self.keys[at] != keys)
         while len(left):
@@ -156,11 +174,12 @@ def _score(order: int, total: int, distinct: int):
     """Scores of a block's documents, from the values of its strings and words."""
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
-        logs = _Table(key[kind == GRAM], value[kind == GRAM])
+        key, value = (values.column(c).to_numpy() for c in ("key", "value"))
+        word = key < 0
+        logs = _Table(key[~word], value[~word])
         bottom = total + distinct + 1
         none = math.log10(1 / bottom)
-        memo = _Logs(dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist(), strict=True)), bottom, none)
+        memo = _Logs(dict(zip(key[word].tolist(), value[word].tolist(), strict=True)), bottom, none)
         n, known, base, score = [], [], [], []
         for _, parts in _pieces(docs.column("text")):
             g, sizes = grams(parts, order)
@@ -170,7 +189,7 @@ def _score(order: int, total: int, distinct: int):
                 n.append(len(d))
                 known.append(len(d) - got.count(none))
                 base.append(sum(got))
-        return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "times": docs.column("times"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
@@ -224,22 +243,36 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0))
     total = df.agg(F.sum(size.cast("long") + 1)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").alias("text"))
-    # A partition for each block on average: scoring is too heavy to merge partitions by their bytes.
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    counts = materialize(docs.groupBy("block").applyInArrow(_count(order), "block long, kind byte, key long, n long"), "ppm-counts")
-    sums = materialize(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-sums")
-    words = sums.where(f"kind = {WORD} and n > 0")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").alias("text"))
+    docs = _folded(rows).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # A task for each block, whatever its number hashes to.
+    docs = docs.repartitionById(blocks, F.col("block"))
+    counts = materialize(docs.groupBy("block").applyInArrow(_count(order), "block int, key long, n long"), "ppm-counts")
+    sums = materialize(counts.groupBy("key").agg(F.sum("n").alias("n")), "ppm-sums")
+    words = sums.where("key < 0 and n > 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    strings, held = _probabilities(sums.where(f"kind = {GRAM}").select("key", "n"), order)
-    values = materialize(strings.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").union(words.select("kind", "key", F.col("n").cast("double"))), "ppm-values")
+    strings, held = _probabilities(sums.where("key >= 0"), order)
+    values = materialize(strings.select("key", "value").union(words.select("key", F.col("n").cast("double"))), "ppm-values")
     release(*held, sums)
-    asked = materialize(counts.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value"), "ppm-asked")
+    asked = materialize(counts.select("block", "key").join(values, "key").select("block", "key", "value"), "ppm-asked")
     release(counts, values)
-    scored = docs.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_score(order, n, v), f"doc_id {dict(docs.dtypes)['doc_id']}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    kinds = f"doc_id {dict(rows.dtypes)['doc_id']}, train boolean, times long, n_tokens long, n_known long, base_score double, score double"
+    scored = docs.groupBy("block").cogroup(asked.repartitionById(blocks, F.col("block")).groupBy("block")).applyInArrow(_score(order, n, v), kinds)
+    scored = scored.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _folded(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``times``: rows that are equal in all become one, so that no block holds many of them."""
+    again = materialize(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "ppm-again")
+    if again.isEmpty():
+        release(again)
+        return rows.withColumn("times", F.lit(1).cast("long"))
+    key = rows["doc_id"].eqNullSafe(again["doc_id"])
+    folded = rows.join(again, key, "left_semi").groupBy("doc_id", "train", "text").agg(F.count("*").alias("times"))
+    return rows.join(again, key, "left_anti").withColumn("times", F.lit(1).cast("long")).unionByName(folded)
+
+
 def adaptive_log10(text: str | None, order: int = ORDER) -> float:
     """log10 probability of one text under a model that starts empty and learns each byte after coding it."""
     data = b" ".join(tokens(text)[:-1]) + END
