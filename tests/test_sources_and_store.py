@@ -33,7 +33,8 @@ def test_json_puts(spark):
     good, counts = X.parse_json(bodies)
     assert rows(good) == [("m", T0, 1.5, (("a", "1"), ("b", "true")))] * 2 + [("n", T0, 2.0, ())]
     assert {r.seq: (r.success, r.failed) for r in counts.collect()} == {0: (1, 0), 1: (2, 1), 2: (0, 1)}
-    assert len(rows(X.parse(bodies.unionByName(lines(spark, f"put p {T0} 1 a=b"))))) == 4
+    points, bad = X.parse(bodies.unionByName(lines(spark, f"put p {T0} 1 a=b")))
+    assert len(rows(points)) == 4 and len(bad.collect()) == 2
 
 
 def test_line_protocol(spark):
@@ -54,7 +55,7 @@ def test_raw_tags_exposition_and_gzip(spark, tmp_path):
     got = rows(X.parse_exposition(lines(spark, *exposition), now=T0, host="h1"))
     assert got == [("lat", T0, 2.5, (("host", "h1"), ("p", "a"))), ("up", T0, 1.0, (("host", "h1"),))]
     (tmp_path / "a.txt.gz").write_bytes(gzip.compress(f"put z {T0} 1 a=b\n".encode()))
-    assert rows(X.parse(X.read_lines(spark, str(tmp_path)))) == [("z", T0, 1.0, (("a", "b"),))]
+    assert rows(X.parse(X.read_lines(spark, str(tmp_path)))[0]) == [("z", T0, 1.0, (("a", "b"),))]
     assert X.generate(spark, 3, 4).count() == 12
     saved = checkpoints(lines(spark, "l:c:1", "l:c:2", "l:d:x:y", "odd"))
     assert {(r.leader, r.channel): r.checkpoint for r in saved.collect()} == {("l", "c"): "2", ("l", "d"): "x:y"}
@@ -91,6 +92,9 @@ def test_streaming(spark, tmp_path):
     go()
     (source / "2.txt").write_text(f"put s {T0} 100 h=a\nput s {T0 + 1} 5 h=a\nbroken\n")
     go()
+    assert store.rejects().count() == 1 and len(store.stale_days()) == len(store.days())
+    store.write_rollups()
+    assert store.stale_days() == []
     first = store.hourly().orderBy("ts").first()
     assert store.hourly().agg({"cnt": "sum"}).first()[0] == 121 and first.max == 100.0
     stream = hourly_stream(file_lines(spark, str(source)))

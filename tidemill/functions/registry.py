@@ -43,7 +43,7 @@ AGGREGATORS: dict[str, Callable[[Column, Column], Column]] = {
     "dev": lambda v, ts: F.coalesce(F.stddev_pop(finite(v)), F.lit(float("nan"))),
 }
 # The names that an aggregator listing shows.
-LISTED = ["avg", "bottom1", "bottom3", "bottom5", "bottom9", "bottomN", "count", "dev", "first", "last", "max", "min", "none", "p50", "p75", "p90", "p95", "p99", "p999", "sum", "top1", "top3", "topN"]
+LISTED = ["avg", "bottom1", "bottom3", "bottom5", "bottom9", "count", "dev", "first", "last", "max", "min", "none", "p50", "p90", "p95", "p98", "p99", "p999", "sum", "top1", "top3", "top5", "top9"]
 #: Listed, but without an implementation across series.
 UNSUPPORTED = {"first", "last"}
 

@@ -13,30 +13,13 @@ from ..plans.spec import SubQuery
 LAST = 3
 
 
-def grouping_keys(sub: SubQuery) -> list[str]:
-    return sorted({f.key for f in sub.tags})
-
-
-def per_series(sub: SubQuery) -> bool:
-    """Whether results are single series rather than groups."""
-    return sub.aggregator == "none" or extreme(sub.aggregator) is not None
-
-
-def with_group(values: DataFrame, sub: SubQuery) -> DataFrame:
-    """Adds ``result``: the name of the result that a series belongs to."""
-    if per_series(sub):
-        return values.withColumn("result", F.col("series"))
-    keys = grouping_keys(sub)
-    return values.withColumn("result", F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.col("tags")[k]) for k in keys]) if keys else F.lit(""))
-
-
 def aggregate(values: DataFrame, sub: SubQuery) -> DataFrame:
-    """``metric, result, ts, value`` from ``values`` with ``result``."""
+    """``result, ts, value`` from ``series, result, ts, value``."""
     if sub.aggregator == "none":
-        return values.select("metric", "result", "ts", "value")
+        return values.select("result", "ts", "value")
     if extreme(sub.aggregator):
-        return extremes(values, *extreme(sub.aggregator)).select("metric", "result", "ts", "value")
-    keys = ["metric", "result", "ts"]
+        return extremes(values, *extreme(sub.aggregator)).select("result", "ts", "value")
+    keys = ["result", "ts"]
     q = quantile(sub.aggregator)
     if q is not None:
         return ranked(values.withColumn("value", finite(F.col("value"))), keys, q)
@@ -45,32 +28,30 @@ def aggregate(values: DataFrame, sub: SubQuery) -> DataFrame:
 
 def extremes(values: DataFrame, side: str, n: int) -> DataFrame:
     """Whole series with the n largest maxima (or least minima) of their last values; ties by series name."""
-    latest = Window.partitionBy("metric", "series").orderBy(F.col("ts").desc())
-    x = values.select("metric", "series", "ts", "value").withColumn("k", F.row_number().over(latest)).where(F.col("k") <= LAST)
+    latest = Window.partitionBy("series").orderBy(F.col("ts").desc())
+    x = values.select("series", "ts", "value").withColumn("k", F.row_number().over(latest)).where(F.col("k") <= LAST)
     best = F.max("value") if side == "top" else F.min("value")
-    x = x.groupBy("metric", "series").agg(best.alias("best"))
-    chosen = x.orderBy(F.col("best").desc() if side == "top" else F.col("best"), "series").limit(n).select("metric", "series")
+    x = x.groupBy("series").agg(best.alias("best"))
+    chosen = x.orderBy(F.col("best").desc() if side == "top" else F.col("best"), "series").limit(n).select("series")
     # n rows, a number that the query states.
-    return values.join(F.broadcast(chosen), ["metric", "series"], "left_semi")
+    return values.join(F.broadcast(chosen), "series", "left_semi")
 
 
-def group_tags(values: DataFrame) -> DataFrame:
-    """``metric, result, tags, aggregate_tags`` of each result.
+def group_tags(members: DataFrame) -> DataFrame:
+    """``result, tags, aggregate_tags`` of each result, from its ``series, result, tags``.
 
     ``tags``: those with one value in all member series.  ``aggregate_tags``: keys that
     all members have, with two or more values.
     """
-    members = values.groupBy("metric", "result", "series").agg(F.first("tags").alias("tags"))
-    n = members.groupBy("metric", "result").agg(F.count("*").alias("n"))
-    pairs = members.select("metric", "result", F.explode("tags").alias("k", "v"))
-    keys = pairs.groupBy("metric", "result", "k").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
-    common = keys.join(n, ["metric", "result"]).where("m = n")
-    told = common.groupBy("metric", "result").agg(
+    n = members.groupBy("result").agg(F.count("*").alias("n"))
+    pairs = members.select("result", F.explode("tags").alias("k", "v"))
+    keys = pairs.groupBy("result", "k").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+    told = keys.join(n, "result").where("m = n").groupBy("result").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("low") == F.col("high"), F.struct("k", "low"))))).alias("tags"),
         F.sort_array(F.collect_list(F.when(F.col("low") != F.col("high"), F.col("k")))).alias("aggregate_tags"),
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return n.join(told, ["metric", "result"], "left").select("metric", "result", F.coalesce("tags", empty).alias("tags"), F.coalesce("aggregate_tags", F.array().cast("array<string>")).alias("aggregate_tags"))
+    return n.join(told, "result", "left").select("result", F.coalesce("tags", empty).alias("tags"), F.coalesce("aggregate_tags", F.array().cast("array<string>")).alias("aggregate_tags"))
 
 
 def listing(spark) -> DataFrame:

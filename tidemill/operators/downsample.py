@@ -12,26 +12,22 @@ from .points import Bounds
 
 #: Rows that a fill grid may have for each series.
 MAX_BUCKETS = 10_000_000
-KEYS = ["metric", "series", "ts"]
+COLUMNS = ["series", "result", "ts", "value"]
 
 
 def downsample(points: DataFrame, spec: Downsample | None, b: Bounds) -> DataFrame:
-    """``metric, series, tags, ts, value`` with one row per series and bucket."""
-    columns = ["metric", "series", "tags", "ts", "value"]
+    """``series, result, ts, value`` with one row per series and bucket."""
     if spec is None:
-        return points.select(*columns)
-    x = points if "bucket" in points.columns else points.withColumn("bucket", F.lit(b.start) if spec.all else F.col("ts") - F.col("ts") % b.interval)
-    keys = ["metric", "series", "bucket"]
+        return points.select(*COLUMNS)
+    x = points if "bucket" in points.columns else points.withColumn("bucket", F.lit(b.start).cast("long"))
+    keys = ["series", "result", "bucket"]
     q = quantile(spec.function)
-    if q is not None:
-        out = ranked(x, keys, q, others={"tags": F.first("tags")})
-    else:
-        out = x.groupBy(*keys).agg(DOWNSAMPLERS[spec.function](F.col("value"), F.col("ts")).alias("value"), F.first("tags").alias("tags"))
-    return out.withColumnRenamed("bucket", "ts").select(*columns)
+    out = ranked(x, keys, q) if q is not None else x.groupBy(*keys).agg(DOWNSAMPLERS[spec.function](F.col("value"), F.col("ts")).alias("value"))
+    return out.withColumnRenamed("bucket", "ts").select(*COLUMNS)
 
 
 def fill(values: DataFrame, series: DataFrame, spec: Downsample | None, b: Bounds) -> DataFrame:
-    """Every bucket of every series of ``series``, empty ones as 0 or NaN.
+    """Every bucket of every series of ``series(series, result)``, empty ones as 0 or NaN.
 
     ``series`` is the matching catalogue: a series without points in range is filled too.
     """
@@ -40,11 +36,11 @@ def fill(values: DataFrame, series: DataFrame, spec: Downsample | None, b: Bound
     if b.buckets > MAX_BUCKETS:
         raise QueryError("the range has too many buckets to fill", 413)
     if not b.interval:
-        grid = series.withColumn("ts", F.lit(b.start).cast("long"))
+        grid = series.select("series", "result", F.lit(b.start).cast("long").alias("ts"))
     elif b.first > b.last:
         return values.limit(0)
     else:
         step = F.sequence(F.lit(b.first).cast("long"), F.lit(b.last).cast("long"), F.lit(b.interval).cast("long"))
-        grid = series.select("metric", "series", "tags", F.explode(step).alias("ts"))
+        grid = series.select("series", "result", F.explode(step).alias("ts"))
     empty = F.lit(0.0) if spec.fill == "zero" else F.lit(float("nan"))
-    return grid.join(values.select(*KEYS, "value"), KEYS, "left").select("metric", "series", "tags", "ts", F.coalesce("value", empty).alias("value"))
+    return grid.join(values.select("series", "ts", "value"), ["series", "ts"], "left").select("series", "result", "ts", F.coalesce("value", empty).alias("value"))

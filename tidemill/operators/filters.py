@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spec import TagFilter
@@ -60,3 +60,8 @@ def matching(filters: tuple[TagFilter, ...], tags: Column | None = None) -> Colu
     """All filters at once."""
     tags = F.col("tags") if tags is None else tags
     return reduce(lambda a, b: a & b, [condition(f, tags[f.key]) for f in filters], F.lit(True))
+
+
+def listing(spark: SparkSession) -> DataFrame:
+    """``name, description`` of the filters that clients may use."""
+    return spark.createDataFrame(sorted(CATALOGUE.items()), "name string, description string")

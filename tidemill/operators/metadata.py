@@ -23,10 +23,15 @@ def suggest(series: DataFrame, kind: str, prefix: str = "", limit: int = 1000) -
     return names.where(F.col("name").startswith(prefix)).distinct().orderBy("name").limit(limit)
 
 
-def lookup(series: DataFrame, metric: str, filters: tuple[TagFilter, ...] = (), limit: int = 25, start: int = 0) -> DataFrame:
-    """``metric, series, tags, tsuid`` of matching series, a page of them in order; ``*`` stands for any metric."""
+def lookup(series: DataFrame, metric: str, filters: tuple[TagFilter, ...] = (), limit: int = 25, start: int = 0, strict: bool = False) -> DataFrame:
+    """``metric, series, tags, tsuid`` of matching series, a page of them in order; ``*`` stands for any metric.
+
+    ``strict``: an error if no series matches, which takes a job to find out.
+    """
     x = series if metric == "*" else series.where(F.col("metric") == metric)
     x = x.where(matching(filters)).withColumn("tsuid", F.hex(F.xxhash64("metric", "series")))
+    if strict and x.isEmpty():
+        raise QueryError(f"no series of metric {metric!r} match", 400)
     return x.orderBy("metric", "series").offset(start).limit(limit)
 
 

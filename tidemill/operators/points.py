@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registry import extreme
 from ..plans.spec import SubQuery
-from ..schema import SECONDS, with_series
+from ..schema import SECONDS, arrival, named, tag_pairs, with_series
 from .filters import matching
 
 
@@ -64,20 +65,49 @@ def in_range(points: DataFrame, b: Bounds, resolution: str = SECONDS) -> DataFra
 
 
 def last_write_wins(points: DataFrame, b: Bounds | None = None) -> DataFrame:
-    """``metric, series, tags, ts, value``: of equal timestamps in a series the latest written.
+    """``metric, series, tags, ts, value`` (and ``bucket``): of equal timestamps in a series the latest written.
 
-    With buckets, rows are dealt by (series, bucket) once; the downsampler's grouping then
-    needs no shuffle of its own.  A single bucket would put a whole series in one task, so
-    there the timestamps deal the rows.
+    With buckets, rows are dealt by (tags, bucket) once; grouping by bucket then needs no
+    shuffle of its own.  A single bucket would put a whole series in one task, so there
+    the timestamps deal the rows.  The metric deals nothing: a constant one would be
+    folded out of the groups, and the shuffle would no longer serve them.
     """
-    x = with_series(points)
-    keys = ["metric", "series", "ts"]
+    x = points.select("metric", tag_pairs(F.col("tags")).alias("pairs"), "ts", "value", arrival(points).alias("seq"))
+    keys = ["metric", "pairs", "ts"]
     if b is not None and b.interval:
-        x = x.withColumn("bucket", F.col("ts") - F.col("ts") % b.interval).repartition("metric", "series", "bucket")
-        keys = ["metric", "series", "bucket", "ts"]
-    return x.groupBy(*keys).agg(F.max_by("value", "seq").alias("value"), F.first("tags").alias("tags"))
+        x = x.withColumn("bucket", F.col("ts") - F.col("ts") % b.interval).repartition("pairs", "bucket")
+        keys.append("bucket")
+    x = x.groupBy(*keys).agg(F.max_by("value", "seq").alias("value"))
+    return x.select("metric", *named(F.col("pairs")), *keys[2:], "value")
 
 
 def select(points: DataFrame, sub: SubQuery, b: Bounds, resolution: str = SECONDS) -> DataFrame:
-    """The matching points in range, each timestamp of a series once."""
-    return last_write_wins(in_range(matching_series(points, sub), b, resolution), b)
+    """``series, result, ts, value`` (and ``bucket``) of the matching points in range, each timestamp of a series once.
+
+    Tags have served by then: the result that a series belongs to is known, so they are
+    not shuffled.  The exchange is the same as in ``last_write_wins``.
+    """
+    x = with_result(with_series(in_range(matching_series(points, sub), b, resolution)), sub)
+    x = x.select("series", "result", "ts", "value", arrival(points).alias("seq"))
+    keys = ["series", "result", "ts"]
+    if b.interval:
+        x = x.withColumn("bucket", F.col("ts") - F.col("ts") % b.interval).repartition("series", "bucket")
+        keys.append("bucket")
+    return x.groupBy(*keys).agg(F.max_by("value", "seq").alias("value"))
+
+
+def grouping_keys(sub: SubQuery) -> list[str]:
+    return sorted({f.key for f in sub.tags})
+
+
+def per_series(sub: SubQuery) -> bool:
+    """Whether results are single series rather than groups."""
+    return sub.aggregator == "none" or extreme(sub.aggregator) is not None
+
+
+def with_result(rows: DataFrame, sub: SubQuery) -> DataFrame:
+    """Adds ``result``: the name of the result that a series belongs to."""
+    if per_series(sub):
+        return rows.withColumn("result", F.col("series"))
+    keys = grouping_keys(sub)
+    return rows.withColumn("result", F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.col("tags")[k]) for k in keys]) if keys else F.lit(""))

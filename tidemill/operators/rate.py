@@ -10,7 +10,7 @@ from ..schema import SECONDS
 
 
 def rate(values: DataFrame, spec: Rate | None, resolution: str = SECONDS) -> DataFrame:
-    """``metric, result, ts, value``; the first point of a result has no rate and goes.
+    """``result, ts, value``; the first point of a result has no rate and goes.
 
     A counter that falls has wrapped at ``counter_max``, unless resets are dropped: then
     the point goes, yet the next one is measured from it.  A rate over ``reset_value``
@@ -18,7 +18,7 @@ def rate(values: DataFrame, spec: Rate | None, resolution: str = SECONDS) -> Dat
     """
     if spec is None:
         return values
-    w = Window.partitionBy("metric", "result").orderBy("ts")
+    w = Window.partitionBy("result").orderBy("ts")
     x = values.withColumn("v0", F.lag("value").over(w)).withColumn("t0", F.lag("ts").over(w)).where(F.col("t0").isNotNull())
     seconds = (F.col("ts") - F.col("t0")) / (1.0 if resolution == SECONDS else 1000.0)
     plain = (F.col("value") - F.col("v0")) / seconds
@@ -32,4 +32,4 @@ def rate(values: DataFrame, spec: Rate | None, resolution: str = SECONDS) -> Dat
             if spec.reset_value:
                 wrapped = F.when(wrapped > spec.reset_value, 0.0).otherwise(wrapped)
             out = F.when(fell, wrapped).otherwise(plain)
-    return x.select("metric", "result", "ts", out.alias("value"))
+    return x.select("result", "ts", out.alias("value"))

@@ -7,34 +7,42 @@ function can be answered from one and its interval is a whole number of rollup p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import Downsample
-from ..schema import SECONDS
-from .points import Bounds, last_write_wins
+from ..schema import ROLLUP_COLUMNS, SECONDS, arrival, named, tag_pairs
+from .points import Bounds
 
 HOUR, DAY = 3600, 86400
+EPOCH = dt.date(1970, 1, 1)
 FUNCTIONS = {"avg", "count", "min", "max", "sum"}
 
 
-def _fold(frame: DataFrame, period: int, parts: dict) -> DataFrame:
-    bucket = F.col("ts") - F.col("ts") % period
-    x = frame.groupBy("metric", "series", bucket.alias("bucket")).agg(F.first("tags").alias("tags"), *[c.alias(n) for n, c in parts.items()])
-    return x.withColumnRenamed("bucket", "ts").select("metric", "series", "tags", "ts", *parts)
+def _fold(frame: DataFrame, keys: list[str], bucket: Column, parts: dict) -> DataFrame:
+    return frame.groupBy(*keys, bucket.alias("bucket")).agg(*[c.alias(n) for n, c in parts.items()]).withColumnRenamed("bucket", "ts")
+
+
+def _coarser() -> dict[str, Column]:
+    return {"cnt": F.sum("cnt"), "min": F.min("min"), "max": F.max("max"), "sum": F.sum("sum")}
 
 
-def hourly(points: DataFrame, resolution: str = SECONDS, deduplicated: bool = False) -> DataFrame:
-    """Rollup rows of each series and hour."""
+def hourly(points: DataFrame, resolution: str = SECONDS) -> DataFrame:
+    """Rollup rows of each series and hour; one shuffle of the points, by hash aggregates alone."""
     period = HOUR * (1 if resolution == SECONDS else 1000)
-    x = points if deduplicated else last_write_wins(points, Bounds(0, 0, 0, 0, period, 0))
+    x = points.select("metric", tag_pairs(F.col("tags")).alias("pairs"), "ts", "value", arrival(points).alias("seq"), (F.col("ts") - F.col("ts") % period).alias("bucket"))
+    x = x.repartition("pairs", "bucket").groupBy("metric", "pairs", "bucket", "ts").agg(F.max_by("value", "seq").alias("value"))
     no_nan = F.when(~F.isnan("value"), F.col("value"))
-    return _fold(x, period, {"cnt": F.count("value"), "min": F.min(no_nan), "max": F.max(no_nan), "sum": F.sum("value")})
+    x = _fold(x, ["metric", "pairs"], F.col("bucket"), {"cnt": F.count("value"), "min": F.min(no_nan), "max": F.max(no_nan), "sum": F.sum("value")})
+    return x.select("metric", *named(F.col("pairs")), *ROLLUP_COLUMNS[3:])
 
 
 def coarser(rollup: DataFrame, period: int) -> DataFrame:
     """Rollup rows of a longer period, a multiple of the present one."""
-    return _fold(rollup, period, {"cnt": F.sum("cnt"), "min": F.min("min"), "max": F.max("max"), "sum": F.sum("sum")})
+    x = rollup.withColumn("pairs", tag_pairs(F.col("tags")))
+    return _fold(x, ["metric", "pairs"], F.col("ts") - F.col("ts") % period, _coarser()).select("metric", *named(F.col("pairs")), *ROLLUP_COLUMNS[3:])
 
 
 def daily(rollup: DataFrame, resolution: str = SECONDS) -> DataFrame:
@@ -51,20 +59,31 @@ def usable(spec: Downsample | None, usage: str = "ROLLUP_FALLBACK_RAW") -> str |
 
 
 def from_rollup(rollup: DataFrame, function: str, b: Bounds) -> DataFrame:
-    """``metric, series, tags, ts, value`` of each bucket from rollup rows."""
-    x = coarser(rollup.where(F.col("ts").between(b.scan_from, b.scan_to)), b.interval)
+    """``series, result, ts, value`` of each bucket from rollup rows with ``result``."""
+    x = rollup.where(F.col("ts").between(b.scan_from, b.scan_to))
+    x = _fold(x, ["series", "result"], F.col("ts") - F.col("ts") % b.interval, _coarser())
     value = {"avg": F.col("sum") / F.col("cnt"), "count": F.col("cnt").cast("double"), "min": F.col("min"), "max": F.col("max"), "sum": F.col("sum")}[function]
-    return x.where("cnt > 0").select("metric", "series", "tags", "ts", value.alias("value"))
+    return x.where("cnt > 0").select("series", "result", "ts", value.alias("value"))
 
 
-def with_fallback(rollup: DataFrame, raw: DataFrame, invalid: DataFrame, resolution: str = SECONDS) -> DataFrame:
-    """Rollup rows, but those of ``invalid(metric, series, day_number)`` made anew from raw points.
+def with_fallback(rollup: DataFrame, raw: DataFrame, invalid: DataFrame | None, stale: frozenset[int] = frozenset(), resolution: str = SECONDS) -> DataFrame:
+    """Rollup rows, but what they do not tell rightly made anew from raw points, by the hour.
 
-    A (series, day) is invalid when late points came after its rollup was written.
+    ``invalid(metric, series, day_number)``: a series' days with late points.  ``stale``:
+    days since the epoch that are not rolled up whole; being literals, they prune the
+    days of a stored table.
     """
     unit = DAY * (1 if resolution == SECONDS else 1000)
     day = F.floor(F.col("ts") / unit)
     keys = ["metric", "series", "day_number"]
-    good = rollup.withColumn("day_number", day).join(invalid, keys, "left_anti").drop("day_number")
-    again = raw.withColumn("day_number", day).join(invalid, keys, "left_semi").drop("day_number")
-    return good.unionByName(hourly(again, resolution))
+    old = F.lit(False)
+    if stale:
+        old = day.isin(sorted(stale))
+        if "day" in raw.columns:
+            old = old & F.col("day").isin([EPOCH + dt.timedelta(days=d) for d in sorted(stale)])
+    good, again = rollup.where(~day.isin(sorted(stale))) if stale else rollup, raw.where(old)
+    if invalid is not None:
+        raw = raw.withColumn("day_number", day).where(~day.isin(sorted(stale))) if stale else raw.withColumn("day_number", day)
+        good = good.withColumn("day_number", day).join(invalid, keys, "left_anti")
+        again = again.unionByName(raw.join(invalid, keys, "left_semi").drop("day_number"))
+    return good.select(*ROLLUP_COLUMNS).unionByName(hourly(again, resolution).select(*ROLLUP_COLUMNS))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metadata, rollup
+from ..operators import aggregate, filters, metadata, rollup
+from ..operators.points import last_write_wins
 from ..operators.store import Store
 from ..schema import canonical_tags, series_table
 from ..sources import tables as T
@@ -16,9 +17,9 @@ from ..sources.answers import to_json
 from .query import Tables, get, post
 from .spec import parse_filter
 
-#: 2024-01-05 and 2024-01-12, UTC.
-START, END = 1704412800, 1705017600
-RANGE = "start=2024/01/05&end=2024/01/12"
+#: 2024-01-01 and 2024-01-31, UTC: all events.
+START, END = 1704067200, 1706659200
+RANGE = "start=2024/01/01&end=2024/01/31"
 HOUR = 3600
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +94,7 @@ add("ds_all_avg", _m("none:0all-avg:events.value"), f"with {BASE} select {SERIES
 _WEEK = 604800
 _w0, _w1 = -(-START // _WEEK) * _WEEK, END // _WEEK * _WEEK + _WEEK - 1
 add("ds_week_sum", _m("sum:1w-sum:events.value{event_type=*}"), down("sum(value)", _WEEK, _w0, _w1) + outer("sum(v)", "'event_type=' || event_type"))
-_S, _E = START + 1234, END + 777
+_S, _E = START + 4 * 86400 + 1234, START + 11 * 86400 + 777
 _u0, _u1 = (_S - 1) // HOUR * HOUR + HOUR, (_E - 1) // HOUR * HOUR + HOUR - 1
 add("ds_unaligned_range", _m("sum:1h-avg:events.value{event_type=*}", when=f"start={_S}&end={_E}"), down("avg(value)", lo=_u0, hi=_u1) + outer("sum(v)", "'event_type=' || event_type"))
 _grid = f", s as (select distinct event_type, user_id from x where event_type = 'click'), g as (select event_type, user_id, b from s, (select unnest(range({START}, {END} + 1, 86400)) as b)) "
@@ -212,7 +213,7 @@ def _json_lines(points: DataFrame) -> DataFrame:
     return points.select(F.to_json(F.struct("metric", F.col("ts").alias("timestamp"), "value", "tags")).alias("text"), "seq")
 
 
-add("parse_put_json", lambda s, d: _back(text.parse_json(_json_lines(T.events(s, d)))[0]), _parsed.format("event_id * 1048576"))
+add("parse_put_json", lambda s, d: _back(text.parse_json(_json_lines(T.events(s, d)))[0]), _parsed.format("event_id"))
 
 
 def _line_lines(points: DataFrame) -> DataFrame:
@@ -223,36 +224,122 @@ def _line_lines(points: DataFrame) -> DataFrame:
 add("parse_line_protocol", lambda s, d: _back(text.parse_line_protocol(_line_lines(T.events(s, d)))[0]), f"select metric, ts, case f when 'v' then value else 1 end as value, '_field=' || f || ',' || series as series, seq from ({_parsed.format('event_id')}), (select unnest(['v', 'w']) as f)")
 
 
-# The stored table.
+# All forms in one input: a JSON body, a plain line and a datagram's line each third event; copies that came earlier lose.
+def _auto(spark: SparkSession, d: str) -> DataFrame:
+    points = T.events(spark, d)
+    plain = text.to_put(points.where("seq % 2 = 0"))
+    early = text.to_put(points.where("seq % 2 = 1").withColumn("value", F.lit(-1.0)).withColumn("seq", F.col("seq") - 1))
+    got, _ = text.parse(plain.unionByName(early).unionByName(_json_lines(points.where("seq % 2 = 1"))))
+    x = last_write_wins(got)
+    return x.select("series", "ts", F.round("value", 6).alias("value"))
+
+
+add("parse_auto", _auto, f"with {BASE} select {SERIES} as series, t as ts, round(value, 6) as value from x")
+
+
+def _escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements, tags and fields with escaped signs, repeated tags and fields, and no timestamp."""
+    x = spark.read.parquet(f"{d}/events.parquet")
+    line = F.concat(F.lit(r"m\,e\ v,k\=1=a\,b,type=x,type="), "event_type", F.lit(r",_field=t f\=1=0,f\=1="), F.col("value").cast("string"))
+    points, _ = text.parse_line_protocol(x.select(line.alias("text"), F.col("event_id").alias("seq")), now=START)
+    return _back(points)
+
+
+add("parse_escapes", _escapes, f"select 'm_Ce_Sv' as metric, cast({START} as bigint) as ts, value, '_field=f_E1,k_E1=a_Cb,type=' || event_type as series, event_id as seq from events")
+
+
+def _raw_tags(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.read.parquet(f"{d}/events.parquet")
+    form = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a=1,type="), "event_type", F.lit(",a="), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, ";").otherwise(F.concat(F.lit("bad key="), "event_type"))
+    return x.select("event_id", F.coalesce(canonical_tags(text.parse_raw_tags(form)), F.lit("none")).alias("tags"))
+
+
+add("parse_raw_tags", _raw_tags, "select event_id, case event_id % 3 when 0 then 'a=' || user_id || ',type=' || event_type when 1 then '' else 'none' end as tags from events")
+
+
+def _exposition(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a gauge, and each user as a summary of two lines; a label ``host`` gives way."""
+    x = spark.read.parquet(f"{d}/events.parquet")
+    at = F.lit(f" {START}")
+    gauge = x.select(F.concat(F.lit('load{host="old",id="'), F.col("event_id").cast("string"), F.lit('"} '), F.col("value").cast("string"), at).alias("text"), F.col("event_id").alias("seq"))
+    users = x.groupBy("user_id").agg(F.count("*").alias("n"))
+    of = lambda kind, v: users.select(F.concat(F.lit(f'took_{kind}{{user="'), F.col("user_id").cast("string"), F.lit('"} '), v.cast("string"), at).alias("text"), (-F.col("user_id")).alias("seq"))
+    head = spark.createDataFrame([("# TYPE took summary", -1), ("# TYPE load gauge", -1)], "text string, seq long")
+    lines = head.unionByName(gauge).unionByName(of("sum", F.col("n") * 3)).unionByName(of("count", F.col("n")))
+    return text.parse_exposition(lines, now=0, host="h").select("metric", "ts", "value", canonical_tags(F.col("tags")).alias("series"))
+
+
+add("parse_exposition", _exposition, f"select 'load' as metric, cast({START} as bigint) as ts, value, 'host=h,id=' || event_id as series from events union all select distinct 'took', {START}, 3.0, 'host=h,user=' || user_id from events")
+
+
+def _gzip(spark: SparkSession, d: str) -> DataFrame:
+    """Put lines in compressed files, read back in the order of each file."""
+    base = T.scratch(spark)
+    text.to_put(T.events(spark, d)).select("text").write.option("compression", "gzip").text(base)
+    points, _ = text.parse(text.read_lines(spark, base))
+    return points.select("metric", "ts", "value", canonical_tags(F.col("tags")).alias("series"))
+
+
+add("parse_gzip", _gzip, f"select metric, ts, value, series from ({_parsed.format('event_id')})")
+add("aggregator_list", lambda s, d: aggregate.listing(s), "select unnest(['avg', 'bottom1', 'bottom3', 'bottom5', 'bottom9', 'count', 'dev', 'first', 'last', 'max', 'min', 'none', 'p50', 'p90', 'p95', 'p98', 'p99', 'p999', 'sum', 'top1', 'top3', 'top5', 'top9']) as name")
+add("filter_list", lambda s, d: filters.listing(s).select("name"), "select unnest(['literal_or', 'iliteral_or', 'not_literal_or', 'not_iliteral_or', 'wildcard', 'iwildcard', 'regexp']) as name")
+
+
+# The stored table: all events, written in two batches of which the second has what was written later.
 def _stored(spark: SparkSession, d: str) -> Store:
     store = Store(spark, T.scratch(spark))
-    points = T.orders(spark, d).drop("time", "series")
-    recent = points.where(F.col("ts") >= F.lit(788918400)).where(F.col("ts") < F.lit(788918400 + 10 * 86400))
-    store.append(recent.where("seq % 2 = 0"))
-    store.append(recent.where("seq % 2 = 1"))
+    points = T.events(spark, d).drop("time", "series")
+    store.append(points.where("seq % 2 = 1"))
+    store.append(points.where("seq % 2 = 0"))
     return store
 
 
 def _compact(spark: SparkSession, d: str) -> DataFrame:
     store = _stored(spark, d)
-    for day in store.days()[:2]:
-        store.compact(day)
-    x = store.points()
-    return x.where(F.col("day").isin(*[F.lit(t).cast("date") for t in store.days()[:2]])).select("series", "ts", F.round("value", 6).alias("value"))
+    store.compact()
+    return store.points().select("series", "ts", F.round("value", 6).alias("value"))
 
 
-_o = "o as (select 'priority=' || o_orderpriority || ',status=' || o_orderstatus as series, cast(floor(epoch(o_orderdate)) as bigint) as ts, arg_max(o_totalprice, o_orderkey) as value from orders group by 1, 2), n as (select * from o where ts >= 788918400 and ts < 788918400 + 10 * 86400), y as (select distinct ts // 86400 as day from n)"
-add("compact_day", _compact, f"with {_o} select series, ts, round(value, 6) as value from n where ts // 86400 in (select day from y order by day limit 2)")
+add("compact_day", _compact, f"with {BASE} select {SERIES} as series, t as ts, round(value, 6) as value from x")
 
 
 def _retention(spark: SparkSession, d: str) -> DataFrame:
     store = _stored(spark, d)
-    store.retain(3)
+    store.retain(20)
     return store.inspect().select(F.unix_date("day").cast("long").alias("day"), "series", "first", "last")
 
 
-add("retention", _retention, f"with {_o} select ts // 86400 as day, count(distinct series) as series, min(ts) as first, max(ts) as last from n where ts // 86400 in (select day from y order by day desc limit 3) group by 1")
-add("json_render", lambda s, d: to_json(get(Tables(T.events(s, d)), f"{RANGE}&m=sum:1d-avg:events.value{{event_type=*}}")))
+add("retention", _retention, f"with {BASE}, y as (select distinct t // 86400 as day from x order by 1 desc limit 20) select t // 86400 as day, count(distinct {SERIES}) as series, min(t) as first, max(t) as last from x where t // 86400 in (select day from y) group by 1")
+
+
+def _tail(text_: str) -> Run:
+    """Rollups are made after the first batch; the second one makes days stale, which are read from points."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        store = Store(spark, T.scratch(spark))
+        points = T.events(spark, d).drop("time", "series")
+        cut = START + 20 * 86400
+        store.append(points.where(F.col("ts") < cut))
+        store.write_rollups()
+        # What comes later: the tail, and writes into three days that are rolled up already.
+        late = F.floor((F.col("ts") - START) / 86400).isin(2, 3, 11)
+        store.append(points.where((F.col("ts") >= cut) | late).withColumn("value", F.when(late, F.col("value") + 1).otherwise(F.col("value"))).withColumn("seq", F.col("seq") + 1_000_000_000))
+        return flat(get(store.tables(), f"{RANGE}&m={text_}", with_tags=False))
+
+    return run
+
+
+_late = f"with {BASE}, z as (select event_type, user_id, t, case when (t - {START}) // 86400 in (2, 3, 11) then value + 1 else value end as value from x), d as (select event_type, user_id, t - t % {{0}} as b, {{1}} as v from z where t >= {{2}} group by 1, 2, 3) "
+add("rollup_tail", _tail("sum:2h-avg:events.value{event_type=*}"), _late.format(2 * HOUR, "avg(value)", START) + outer("sum(v)", "'event_type=' || event_type"))
+add("rollup_daily_fallback", _tail("max:2d-sum:events.value{event_type=*}"), _late.format(2 * 86400, "sum(value)", -(-START // (2 * 86400)) * 2 * 86400) + outer("max(v)", "'event_type=' || event_type"))
+add(
+    "json_render",
+    lambda s, d: to_json(get(Tables(T.events(s, d)), f"{RANGE}&m=count:1d-count:events.value{{event_type=*}}")),
+    down("count(value)", 86400, hi=END + 86399).rstrip()
+    + """, n as (select event_type, b, count(v) as v from d group by 1, 2), u as (select event_type, count(distinct user_id) as users, min(user_id) as one from d group by 1)
+select 0 as query_index, 'event_type=' || event_type as result, '{"metric":"events.value","tags":{"event_type":"' || event_type || '"' || case when users = 1 then ',"user_id":"' || one || '"' else '' end || '},"aggregateTags":[' || case when users > 1 then '"user_id"' else '' end || '],"dps":{' || string_agg('"' || b || '":' || v, ',' order by b) || '}}' as json
+from n join u using (event_type) group by event_type, users, one""",
+)
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
@@ -263,6 +350,7 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     text.to_put(T.events(spark, d)).select("text").write.text(f"{base}/lines")
     store = Store(spark, f"{base}/store")
     ingest(file_lines(spark, f"{base}/lines"), store, f"{base}/offsets", once=True).awaitTermination()
+    store.write_rollups()
     return store.hourly().select("series", "ts", "cnt", "min", "max", F.round("sum", 6).alias("sum"))
 
 

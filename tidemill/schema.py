@@ -34,6 +34,22 @@ def canonical_tags(tags: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
 
 
+def tag_pairs(tags: Column) -> Column:
+    """Tags as an array of pairs in the order of their keys: unlike a map, it can be a key of groups."""
+    return F.array_sort(F.map_entries(tags))
+
+
+def named(pairs: Column) -> list[Column]:
+    """``series, tags`` from the pairs."""
+    series = F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return [series.alias("series"), F.map_from_entries(pairs).alias("tags")]
+
+
+def arrival(points: DataFrame) -> Column:
+    """What orders writes: ``seq``, and within a text of many points their ``place``."""
+    return F.struct("seq", "place") if "place" in points.columns else F.col("seq")
+
+
 def with_series(points: DataFrame) -> DataFrame:
     return points if "series" in points.columns else points.withColumn("series", canonical_tags(F.col("tags")))
 

@@ -1,19 +1,21 @@
-"""Continuous ingest: any line source into a store, with rollups that late points renew.
+"""Continuous ingest: any line source into a store.
 
-Late points are never dropped.  Each micro-batch is appended, and the rollups of the days
-that it touched are made anew from the table, so they are right whatever the order of
-arrival.  ``hourly_stream`` is the append-only alternative: windows close behind a
+Late points are never dropped.  Each micro-batch is appended, which makes the days that it
+touched stale; their rollups are made anew every so often, and queries read stale days
+from points, so answers are right whatever the order of arrival.  ``hourly_stream`` is the append-only alternative: windows close behind a
 watermark, and what comes later reaches the points table only.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import Store
-from ..schema import with_day, with_series
+from ..operators.store import Store, batch_name
+from ..schema import with_series
 from ..sources.text import parse, parse_line_protocol, parse_put
 
 
@@ -30,24 +32,31 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load().select(F.col("value").cast("string").alias("text"))
 
 
-def ingest(lines: DataFrame, store: Store, checkpoint: str, kind: str = "put", rollups: bool = True, once: bool = False) -> StreamingQuery:
-    """Start the stream.  Later batches, and later lines of one, win over earlier ones."""
+def ingest(lines: DataFrame, store: Store, checkpoint: str, kind: str = "put", renew: int = 0, once: bool = False) -> StreamingQuery:
+    """Start the stream.  Later batches, and later lines of one, win over earlier ones.
+
+    Within a batch the order of arrival decides, so its points then only carry the batch's
+    number, which never overflows.  A batch that is run again replaces its first run.
+    Lines without a timestamp get the time at which their batch began; what no parser
+    takes goes to the store's rejects.  Every ``renew`` batches stale rollups are made
+    anew (0: never; ``store.write_rollups`` does it when called); until then queries read
+    stale days from points.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
-        numbered = frame.withColumn("seq", F.lit(number * (1 << 40)) + F.monotonically_increasing_id() % (1 << 40))
-        if kind == "line":
-            points, _ = parse_line_protocol(numbered, resolution=store.resolution)
-        else:
-            points = parse(numbered, None if kind == "put" else kind, store.resolution)
-        points = points.persist()
+        numbered = frame.withColumn("seq", F.monotonically_increasing_id()).persist()
+        name = batch_name(checkpoint, number)
         try:
-            store.append(points)
-            if rollups:
-                days = [str(r[0]) for r in with_day(points, store.resolution).select("day").distinct().collect()]
-                if days:
-                    store.write_rollups(days)
+            if kind == "line":
+                points, rejects = parse_line_protocol(numbered, now=int(time.time()), resolution=store.resolution)
+            else:
+                points, rejects = parse(numbered, None if kind == "put" else kind, store.resolution)
+            store.append(points, name, number)
+            store.reject(rejects, name)
         finally:
-            points.unpersist()
+            numbered.unpersist()
+        if renew and (number + 1) % renew == 0:
+            store.write_rollups()
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
