@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,27 +97,22 @@ def test_jaccard_join_chains_and_borders(spark):
     assert J.query(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_a_bound_of_the_overlap_with_a_leader_excludes_no_pair(spark):
-    """y joins its leader's component through a chain, their pair is refused by its prefixes, and x links with y alone."""
-    parts = [("lx", "LX", 10), ("all", "LXY", 8), ("l", "L", 20), ("xy", "XY", 25), ("y", "Y", 5), ("more", "LXY", 57), ("ly", "LY", 5)]
-    sets = {c: [f"{name}{k}" for name, owners, n in parts if c in owners for k in range(n)] for c in "LXY"}
-    assert {len(s) for s in sets.values()} == {100}
-    ids = {"L": 1, "Y": 2, "X": 3}
-    place = {w: k for k, w in enumerate(dict.fromkeys(f"{name}{k}" for name, _, n in parts for k in range(n)))}
-    docs = spark.createDataFrame([(ids[c], " ".join(s)) for c, s in sets.items()], "doc_id long, text string")
-    shown = spark.createDataFrame([(ids[c], 100, [place[w] for w in s[:21]]) for c, s in sets.items()], "doc_id long, n int, keys array<long>")
-    mixed = spark.createDataFrame([(place["all0"], ids[c], 100, s.index("all0"), 20, 3 if c == "X" else 1) for c, s in sets.items()], "key long, doc_id long, n int, pos int, block int, component long")
-    leaders = spark.createDataFrame([(place["all0"], 20, (1, 100, 10))], "key long, block int, lead struct<doc_id: long, n: int, pos: int>")
-    pairs = J._Pairs(J.PERCENT)
-    answers = J._answers(docs, spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), shown, pairs, 1)
-    assert {r.b: r.linked for r in answers.collect()} == {2: False, 3: False}
-    x, y = set(sets["X"]), set(sets["Y"])
-    assert 100 * len(x & y) >= J.PERCENT * len(x | y)
-    assert [(r.a, r.b) for r in J._rest(mixed, leaders, shown, answers, pairs).collect()] == [(2, 3)]
-
-
-def test_jaccard_join_counts_all_links(spark):
+def test_blocks_count_common_tokens_and_join_parts(monkeypatch):
+    monkeypatch.setattr(J, "SLICE", 3)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, size=k)) for k in (0, 1, 5, 20, 30, 3, 0, 12)]
+    want = [[len(set(x) & set(y)) for y in sets[2:]] for x in sets]
+    assert J._common(sets, sets[2:]).tolist() == want
+    linked = np.zeros((6, 6), dtype=bool)
+    for a, b in ((0, 3), (3, 5), (1, 2)):
+        linked[a, b] = linked[b, a] = True
+    assert sorted(J._forest(linked)) == [(2, 1), (3, 0), (5, 0)]
+
+
+@pytest.mark.parametrize("chunk", [J.CHUNK, 3])
+def test_jaccard_join_counts_all_links(spark, monkeypatch, chunk):
     """Links inside components too, of sets that are similar to a hub and not to each other, equal sets and repeated ids."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
     words = [f"w{i}" for i in range(400)]
     rows = [(k, " ".join(words[8 * k : 8 * k + 100 + 4 * k])) for k in range(20)]
     rows += [(100 + k, " ".join(f"z{k}" if j in (7 * k % 290, (7 * k + 150) % 290) else f"v{j}" for j in range(300))) for k in range(1, 25)]

@@ -7,20 +7,19 @@ Texts become sets of word shingles.  The join is exact and skips work on two lev
   the threshold, and the positions of the shared token in both sets bound the overlap,
   so whole stretches of a list are never visited.
 * Answer level.  Equal sets collapse into one class.  In each block, every set is first
-  compared with one of its sets, the leader.  The answers of sets that are
-  highly similar to the leader follow from the leader's: they are linked through it, and
-  a set x with known overlap with the leader can share at most
-  ``|x & leader| + |y - leader|`` with such a set y.  One maximum per block bounds all
-  its members at once, so x skips the block, or the single pairs, that cannot link.
+  compared with one of its sets, the leader, and then with the hub that most sets of its
+  lists were compared with.  A set's answers follow from its hub's: sets with one hub H
+  differ from it by x ^ H and y ^ H, and ``|x & y|`` follows from the sizes and from
+  ``|(x ^ H) & (y ^ H)|``.  So sets with one hub never meet in a list; their differences
+  are compared in blocks, and what leaves a block are link counts and a spanning forest,
+  not pairs.
 
-Leaders are drawn anew, among representatives of components that still meet in a list,
-until a round finds no link.  Only what neither level can skip is compared, by rebuilding
-both shingle sets from the whole texts.
+Only pairs of different hubs that neither level can skip are compared by rebuilding both
+shingle sets from the whole texts.  A pair's prefixes bound its overlap before that.
 
-Every link is counted, inside components too.  One set of each component, the hub, is the
-one that most of its sets were compared with: their overlaps with the hub bound those of
-their pairs from below and above.  Pairs that the lower bound links are counted by a
-histogram, without being listed; those that neither bound settles are compared.
+Cost: a group of G sets around one hub takes about G * G / CHUNK rows of differences and
+vector products over G * G pairs; it is the one step that is not near-linear, as the
+links that it counts are not.
 
 Token order: a set first shows the least hashes of its tokens, half as many again as its
 prefix needs.  Tokens shown by more than ``FREQUENT`` sets come last in the order, so
@@ -53,6 +52,12 @@ WIDTH = 5
 PERCENT = 80
 #: A token that more sets than this show is frequent, and comes last in the order of tokens.
 FREQUENT = 16
+#: Sets are measured against leaders and hubs down to this similarity, in hundredths; it decides cost, never results.
+MEASURED = 60
+#: Sets, and tokens of their differences, in a chunk of those around one hub.
+CHUNK, CHUNK_TOKENS = 512, 1 << 18
+#: Columns of a product of blocks.
+SLICE = 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,6 +154,101 @@ def _overlaps(width: int):
     return run
 
 
+def _differences(width: int):
+    """Per pair (hub, set) the size of the set and the tokens that only one of both has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for part in slices(batch, "text_b", 1 << 20):
+                a, b = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
+                heads = list(dict.fromkeys(a))
+                hubs = dict(zip(heads, shingle_sets(heads, words, width), strict=True))
+                sets = shingle_sets(b, words, width)
+                unlike = [np.setxor1d(hubs[t], x, assume_unique=True).view(np.int64) for t, x in zip(a, sets, strict=True)]
+                offsets = np.concatenate([[0], np.cumsum([len(d) for d in unlike])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(unlike)))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([len(x) for x in sets], pa.int64()), lists], names=["hub", "doc_id", "n", "unlike"])
+
+    return run
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of the left sets shares with each of the right ones, by products of 0-1 blocks."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    tokens = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not len(tokens):
+        return out
+    at = [np.searchsorted(tokens, f) for f in flat]
+    keep = [tokens[np.minimum(k, len(tokens) - 1)] == f for k, f in zip(at, flat, strict=True)]
+    at, owner = [k[x] for k, x in zip(at, keep, strict=True)], [o[x] for o, x in zip(owner, keep, strict=True)]
+    for start in range(0, len(tokens), SLICE):
+        block = []
+        for side, k, o in zip((left, right), at, owner, strict=True):
+            now = (k >= start) & (k < start + SLICE)
+            m = np.zeros((len(side), min(SLICE, len(tokens) - start)), dtype=np.float32)
+            m[o[now], k[now] - start] = 1
+            block.append(m)
+        out += block[0] @ block[1].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, row of its part with the least number) that join what a symmetric matrix links."""
+    left, edges = np.ones(len(linked), dtype=bool), []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        part, front = np.zeros(len(linked), dtype=bool), np.array([root])
+        part[root] = True
+        while len(front):
+            new = linked[front].any(axis=0) & ~part
+            part |= new
+            front = np.flatnonzero(new)
+        left &= ~part
+        edges += [(int(k), root) for k in np.flatnonzero(part) if k != root]
+    return edges
+
+
+def _blocks(percent: int):
+    """Of the sets in two chunks around one hub (or one chunk): how many rows each links with, and a forest of the links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk").to_numpy()
+        ids, n, w = (table.column(c).to_numpy() for c in ("doc_id", "n", "w"))
+        lists = table.column("unlike").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        d = np.array([len(x) for x in sets], dtype=np.int64)
+        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        a = np.flatnonzero(chunk == table.column("low")[0].as_py())
+        b = a if same else np.flatnonzero(chunk == table.column("high")[0].as_py())
+        if not len(a) or not len(b):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        shared = np.rint(_common([sets[i] for i in a], [sets[i] for i in b])).astype(np.int64)
+        sizes = n[a][:, None] + n[b][None, :]
+        # |x & y| = (|x| + |y| - |x ^ y|) / 2, and x ^ y is what just one of both differences has.
+        both = (sizes - (d[a][:, None] + d[b][None, :] - 2 * shared)) // 2
+        linked = (100 + percent) * both >= percent * sizes
+        if same:
+            np.fill_diagonal(linked, False)
+            rows, whole = a, linked
+        else:
+            rows = np.concatenate([a, b])
+            whole = np.zeros((len(rows), len(rows)), dtype=bool)
+            whole[: len(a), len(a) :] = linked
+            whole[len(a) :, : len(a)] = linked.T
+        counts = whole.astype(np.float64) @ w[rows].astype(np.float64)
+        other = ids[rows].copy()
+        for k, root in _forest(whole):
+            other[k] = ids[rows][root]
+        return pa.table({"doc_id": pa.array(ids[rows]), "links": pa.array(np.rint(counts).astype(np.int64)), "other": pa.array(other)})
+
+    return run
+
+
 def _ordered(hits: DataFrame) -> DataFrame:
     """``key, doc_id, n, pos`` with places in the final order, from places by hash.
 
@@ -164,14 +264,14 @@ def _ordered(hits: DataFrame) -> DataFrame:
     return x.select("key", "doc_id", "n", pos.cast("int").alias("pos"), "m")
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, width: int, tag: str) -> DataFrame:
-    """``pairs(a, b)`` with the sizes of both sets and their intersection, from the whole texts."""
+def _compare(docs: DataFrame, pairs: DataFrame, compare, kinds: str, tag: str) -> DataFrame:
+    """What ``compare`` makes of the whole texts of ``pairs(a, b)``."""
     # The texts of the pairs' documents alone go on to the joins: all texts are shuffled just once.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "join-texts")
     one = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    out = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, na long, nb long, both long"), tag)
+    out = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(compare, kinds), tag)
     release(texts)
     return out
 
@@ -186,61 +286,68 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kinds = "doc_id long, n long, f1 long, f2 long, keys array<long>"
     parts = materialize(docs.mapInArrow(_scan(width, percent, False), kinds), "join-scan")
-    rows = parts.select("doc_id", "n", "f1", "f2")
+    rows = materialize(parts.select("doc_id", "n", "f1", "f2"), "join-rows")
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "join-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     known = docs.where("doc_id is not null")
     pairs = _Pairs(percent)
+    first = materialize(parts.where("n > 0").select("doc_id", "n", "keys").join(reps.hint("merge"), "doc_id", "left_semi"), "join-first")
+    release(parts)
+    lists = _lists(known, first, pairs, width)
+    release(first)
+    members = materialize(rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "join-members")
+    release(rows, classes)
+    # Each set's listed tokens, which tell how many of its prefix it shares with another one.
+    shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-shown")
+    star = _star(lists, pairs)
+    answers = _answers(known, star, shown, pairs, width, MEASURED)
+    hubs = _hubs(answers, shown)
+    more = _answers(known, _nearer(lists, hubs, answers), shown, pairs, width, MEASURED)
+    answers = answers.unionByName(more)
+    release(hubs)
+    hubs = _hubs(answers, shown)
+    more = _answers(known, _rest(lists, hubs, answers, pairs), shown, pairs, width, percent)
+    answers = answers.unionByName(more)
+    weights = materialize(members.where("rep is not null and doc_id is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("w")), "join-weights")
+    release(lists, shown)
+    around, groups = _around(known, hubs, weights, width, percent)
+    # Links of sets with one hub are told by the blocks, all others by single answers.
+    told = answers.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hub = lambda c: hubs.select(F.col("doc_id").alias(c), F.col("hub").alias(f"hub_{c}"))
+    told = told.join(hub("a"), "a").join(hub("b"), "b").join(groups.select(F.col("hub").alias("hub_a"), F.lit(True).alias("done")), "hub_a", "left")
+    single = materialize(told.where("done is null or hub_a <> hub_b").select("a", "b"), "join-single")
+    comps = components(single.union(around.where("doc_id <> other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))))
+    both = single.union(single.select("b", "a"))
+    compared = both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("w").alias("links"))
+    all_ = weights.select("doc_id", (F.col("w") - 1).alias("links")).union(around.select("doc_id", "links")).union(compared)
+    counts = materialize(all_.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("n_links")), "join-counts")
+    release(around, groups, hubs, single, weights)
+    return members, counts, comps
+
+
+def _lists(docs: DataFrame, first: DataFrame, p: _Pairs, width: int) -> DataFrame:
+    """``key, doc_id, n, pos, block``: the prefixes of all sets, less tokens that no other set has there."""
+    kinds = "doc_id long, n long, f1 long, f2 long, keys array<long>"
     explode = lambda x: x.select("doc_id", F.col("n").cast("int").alias("n"), F.size("keys").alias("given"), F.posexplode("keys").alias("pos", "key"))
-    index = explode(materialize(parts.where("n > 0").select("doc_id", "n", "keys").join(reps.hint("merge"), "doc_id", "left_semi"), "join-shown"))
+    index = explode(first)
     shared = materialize(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "join-keys")
     hits = materialize(index.join(shared.hint("merge"), "key").select("key", "doc_id", "n", "given", "pos", "m"), "join-hits")
     # Sets with too few rare tokens among those shown: they show all.
     often = F.count_if(F.col("m") > FREQUENT)
-    short = hits.groupBy("doc_id", "n", "given").agg(often.alias("often")).where(f"given < n and given - often < {pairs.prefix('n')}")
+    short = hits.groupBy("doc_id", "n", "given").agg(often.alias("often")).where(f"given < n and given - often < {p.prefix('n')}")
     short = materialize(short.select("doc_id").distinct(), "join-short")
-    tokens = explode(known.join(short.hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(width, percent, True), kinds).where("n > 0"))
-    heavy = _ordered(tokens.join(shared, "key", "left").withColumn("m", F.coalesce("m", F.lit(0)))).where(f"pos < {pairs.prefix('n')}")
+    tokens = explode(docs.join(short.hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(width, p.percent, True), kinds).where("n > 0"))
+    heavy = _ordered(tokens.join(shared, "key", "left").withColumn("m", F.coalesce("m", F.lit(0)))).where(f"pos < {p.prefix('n')}")
     heavy = materialize(heavy, "join-heavy")
     # Tokens that thereby came in, where other sets show them.
     late = index.join(heavy.where("m < 2").select("key").distinct().hint("merge"), "key", "left_semi").withColumn("m", F.lit(1).cast("long"))
     light = hits.union(late.select(*hits.columns)).join(short, "doc_id", "left_anti")
-    whole = _ordered(light).where(f"pos < {pairs.prefix('n')}").union(heavy)
+    whole = _ordered(light).where(f"pos < {p.prefix('n')}").union(heavy)
     # Blocks of a factor 100 / percent: similar sets lie in one block or in neighbouring ones.
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.percent))).cast("int")
     lists = materialize(whole.select("key", "doc_id", "n", "pos", block.alias("block")), "join-lists")
     release(hits, short, shared, heavy)
-    # Each set's listed tokens, which tell how many of its prefix it shares with another one.
-    shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-prefixes")
-    leaders = materialize(lists.groupBy("key", "block").agg(F.min(F.struct("doc_id", "n", "pos")).alias("lead")), "join-leaders")
-    probes = lists.withColumn("open", F.explode(F.array("block", F.col("block") - 1)))
-    heads = leaders.select("key", F.col("block").alias("open"), "lead")
-    star = probes.join(heads, ["key", "open"]).where(F.col("doc_id") != F.col("lead.doc_id")).where(pairs.either("lead.n", "lead.pos", "n", "pos"))
-    star = star.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    answers = _answers(known, star, shown, pairs, width)
-    links = answers.where("linked").select("a", "b")
-    comps = components(links)
-    while True:
-        mixed = _mixed(lists, comps)
-        again = _round(mixed, answers, pairs)
-        found = _answers(known, again, shown, pairs, width)
-        new = found.where("linked").select("a", "b")
-        answers = answers.unionByName(found)
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        comps = components(links)
-        release(mixed)
-    rest = _rest(mixed, leaders, shown, answers, pairs)
-    if not rest.isEmpty():
-        more = _answers(known, rest, shown, pairs, width)
-        links = links.union(more.where("linked").select("a", "b"))
-        comps = components(links)
-        answers = answers.unionByName(more)
-    members = rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    counts = materialize(_counted(known, members, lists, shown, answers, comps, pairs, width), "join-counts")
-    release(rest, mixed, lists, leaders, shown)
-    return members, counts, comps
+    return lists
 
 
 class _Pairs:
@@ -267,8 +374,8 @@ class _Pairs:
     def either(self, xn: str, xpos: str, yn: str, ypos: str):
         return self.possible(xn, xpos, yn, ypos) | self.possible(yn, ypos, xn, xpos)
 
-    def bounded(self, pairs: DataFrame, shown: DataFrame) -> DataFrame:
-        """``a, b, most, ok``: a bound of the overlap from the prefixes, and whether it reaches the threshold.
+    def bounded(self, pairs: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
+        """``a, b, ok``: whether a bound of the overlap from the prefixes reaches ``percent``.
 
         Of two prefixes, let one end first in the global order.  What both sets share up to
         there is in both prefixes; beyond it, its own set has only ``least - 1`` tokens left.
@@ -277,113 +384,79 @@ class _Pairs:
         left = lambda n: F.expr(f"{self.least(n)} - 1")
         x = pairs.join(side("b"), "b").join(side("a"), "a")
         x = x.withColumn("most", (F.size(F.array_intersect("keysa", "keysb")) + F.greatest(left("na"), left("nb"))).cast("long"))
-        ok = F.expr(f"{100 + self.percent}L * most >= {self.percent}L * (na + nb)")
-        return x.groupBy("a", "b").agg(F.max("most").alias("most"), F.max(ok).alias("ok"))
+        ok = F.expr(f"{100 + percent}L * least(most, na, nb) >= {percent}L * (na + nb)")
+        return x.groupBy("a", "b").agg(F.max(ok).alias("ok"))
 
 
-def _answers(docs: DataFrame, pairs: DataFrame, shown: DataFrame, p: _Pairs, width: int) -> DataFrame:
-    """``a, b, both, most, linked`` of each pair: the overlap, null where a bound was enough to tell that they do not link, and the most it can be."""
-    asked = materialize(p.bounded(pairs, shown), "join-asked")
-    tested = _compare(docs, asked.where("ok").select("a", "b"), width, "join-tested")
+def _answers(docs: DataFrame, pairs: DataFrame, shown: DataFrame, p: _Pairs, width: int, percent: int) -> DataFrame:
+    """``a, b, both, linked`` of each pair: the overlap, null where a bound was enough to tell that it is less than ``percent``."""
+    asked = materialize(p.bounded(pairs, shown, percent), "join-asked")
+    tested = _compare(docs, asked.where("ok").select("a", "b"), _overlaps(width), "a long, b long, na long, nb long, both long", "join-tested")
     told = tested.groupBy("a", "b").agg(F.max("both").alias("both"), F.max(F.expr(p.linked)).alias("linked"))
-    told = told.select("a", "b", "both", F.col("both").alias("most"), "linked")
-    out = materialize(told.union(asked.where("not ok").select("a", "b", F.lit(None).cast("long"), "most", F.lit(False))), "join-answers")
+    out = materialize(told.union(asked.where("not ok").select("a", "b", F.lit(None).cast("long"), F.lit(False))), "join-answers")
     release(asked, tested)
     return out
 
 
-def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the lists in which different components still meet, with their components."""
-    label = comps.select(F.col("node").alias("doc_id"), "component")
-    x = materialize(lists.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "join-labelled")
-    keys = materialize(x.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key"), "join-mixed")
-    out = materialize(x.join(keys, "key"), "join-meeting")
-    release(x, keys)
-    return out
+def _star(lists: DataFrame, p: _Pairs) -> DataFrame:
+    """Pairs (leader, set): in each list every set with the leaders of its block and of the next smaller one."""
+    leaders = lists.groupBy("key", F.col("block").alias("open")).agg(F.min(F.struct("doc_id", "n", "pos")).alias("lead"))
+    probes = lists.withColumn("open", F.explode(F.array("block", F.col("block") - 1)))
+    star = probes.join(leaders, ["key", "open"]).where(F.col("doc_id") != F.col("lead.doc_id")).where(p.either("lead.n", "lead.pos", "n", "pos"))
+    return star.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def _round(mixed: DataFrame, answers: DataFrame, p: _Pairs) -> DataFrame:
-    """New pairs of a round: in each block one set of each component, with one set of the first component."""
-    one = mixed.groupBy("key", "block", "component").agg(F.max(F.struct("doc_id", "n", "pos")).alias("x"))
-    one = materialize(one, "join-one")
-    head = one.groupBy("key", "block").agg(F.min(F.struct("component", "x")).alias("head"))
-    opened = one.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
-    star = opened.join(head, ["key", "block"]).where("component <> head.component").where(p.either("head.x.n", "head.x.pos", "x.n", "x.pos"))
-    star = star.select(F.col("head.x.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
-    return star.join(_either_way(answers), ["a", "b"], "left_anti")
+def _hubs(answers: DataFrame, shown: DataFrame) -> DataFrame:
+    """``doc_id, hub, fame``: of the sets that a set was compared with, itself included, the one compared with most sets."""
+    exact = answers.where("both is not null")
+    ends = exact.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")).union(exact.select("b", "a")).union(shown.select(F.col("doc_id").alias("hub"), "doc_id")).distinct()
+    fame = ends.groupBy("hub").agg(F.count("*").alias("fame"))
+    best = ends.join(fame, "hub").groupBy("doc_id").agg(F.max(F.struct("fame", (-F.col("hub")).alias("less"))).alias("top"))
+    return materialize(best.select("doc_id", (-F.col("top.less")).alias("hub"), F.col("top.fame").alias("fame")), "join-hubs")
+
+
+def _nearer(lists: DataFrame, hubs: DataFrame, answers: DataFrame) -> DataFrame:
+    """New pairs (hub, set): each set with the most compared hub of its lists, where that is not its own."""
+    rows = lists.select("key", "block", "doc_id").join(hubs, "doc_id")
+    tops = rows.groupBy("key", "block").agg(F.max(F.struct("fame", "hub")).alias("top"))
+    opened = rows.withColumn("block", F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)))
+    best = opened.join(tops, ["key", "block"]).groupBy("doc_id").agg(F.max("top").alias("top"), F.first("fame").alias("fame"))
+    asked = best.where("top.fame > fame and top.hub <> doc_id").select(F.col("top.hub").alias("a"), F.col("doc_id").alias("b"))
+    return asked.join(_either_way(answers), ["a", "b"], "left_anti")
 
 
 def _either_way(answers: DataFrame) -> DataFrame:
     return answers.select("a", "b").union(answers.select(F.col("b"), F.col("a"))).toDF("a", "b").distinct()
 
 
-def _rest(mixed: DataFrame, leaders: DataFrame, shown: DataFrame, answers: DataFrame, p: _Pairs) -> DataFrame:
-    """Pairs of a list that are neither linked through leaders nor excluded by their answers."""
-    heads = leaders.select("key", "block", F.col("lead.doc_id").alias("leader"))
-    known = answers.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "both", "most").union(answers.select(F.col("b"), F.col("a"), "both", "most"))
-    known = known.groupBy("leader", "doc_id").agg(F.max("both").alias("both"), F.min("most").alias("most"))
-    known = materialize(known, "join-known")
-    owner = mixed.select("key", F.col("doc_id").alias("leader"), F.col("component").alias("led")).distinct()
-    x = mixed.join(heads, ["key", "block"]).join(owner, ["key", "leader"]).join(known, ["leader", "doc_id"], "left")
-    # How far each set may reach beyond its block's leader: by exact overlaps alone, as a bound from above would make it too small.
-    beyond = F.when(F.col("leader") == F.col("doc_id"), 0).otherwise(F.col("n") - F.coalesce("both", F.lit(0)))
-    x = materialize(x.select("key", "block", "doc_id", "n", "pos", "component", "leader", beyond.alias("beyond"), (F.col("component") == F.col("led")).alias("near")), "join-rows")
-    near, far = x.where("near"), x.where("not near")
-    h, q = 100 + p.percent, p.percent
-    # Far and far, in blocks that fit.
-    left = far.where(p.leading).select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component", "block")])
-    opened = far.withColumn("x_block", F.explode(F.array("block", F.col("block") - 1)))
-    ff = left.join(opened, ["key", "x_block"]).where("x_doc_id <> doc_id and x_component <> component").where(p.possible("x_n", "x_pos", "n", "pos"))
-    ff = ff.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
-    # Far and near: a block's largest reach beyond its leader bounds all its members at once.
-    stats = near.groupBy("key", "block", "leader", "component").agg(F.max("beyond").alias("most_beyond"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    # A near row of the next larger block counts as far here: it was compared with this block's leader too.
-    asked = far.withColumn("at", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))).unionByName(near.withColumn("at", F.col("block") - 1))
-    tries = asked.select("key", F.col("at").alias("block"), *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component")])
-    tries = tries.join(stats, ["key", "block"]).where("x_component <> component")
-    tries = tries.join(known.select("leader", F.col("doc_id").alias("x_doc_id"), F.col("most").alias("x_both")), ["leader", "x_doc_id"], "left")
-    tries = tries.where(f"100L * x_n >= {q}L * least_n and 100L * most_n >= {q}L * x_n and (x_both is null or {h}L * (x_both + most_beyond) >= {q}L * (x_n + least_n))")
-    tries = materialize(tries.select("key", "block", *[f"x_{c}" for c in ("doc_id", "n", "pos", "component", "both")]), "join-tries")
-    nf = tries.join(near, ["key", "block"]).where("x_component <> component").where(p.either("x_n", "x_pos", "n", "pos"))
-    nf = nf.where(f"x_both is null or {h}L * (x_both + beyond) >= {q}L * (x_n + n)")
-    nf = nf.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b"))
-    out = ff.union(nf).distinct().join(_either_way(answers), ["a", "b"], "left_anti")
-    return materialize(p.bounded(out, shown).where("ok").select("a", "b"), "join-rest")
-
-
-def _counted(docs: DataFrame, members: DataFrame, lists: DataFrame, shown: DataFrame, answers: DataFrame, comps: DataFrame, p: _Pairs, width: int) -> DataFrame:
-    """``rep, n_links``: the other rows that link with a row of each representative's class."""
-    h, q = 100 + p.percent, p.percent
-    weights = materialize(members.where("rep is not null and doc_id is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("w")), "join-weights")
-    sets = shown.select("doc_id", F.col("n").cast("long").alias("n")).join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id").join(weights, "doc_id")
-    sets = materialize(sets, "join-sets")
-    exact = answers.where("both is not null")
-    ends = exact.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "both").union(exact.select("b", "a", "both")).dropDuplicates(["hub", "doc_id"])
-    ends = materialize(ends.union(sets.select(F.col("doc_id").alias("hub"), "doc_id", F.col("n").alias("both"))), "join-ends")
-    hubs = ends.join(sets.select("doc_id", "component"), "doc_id").groupBy("component", "hub").agg(F.count("*").alias("m")).groupBy("component").agg(F.max(F.struct("m", "hub")).alias("top"))
-    hubs = hubs.select("component", F.col("top.hub").alias("hub")).join(shown.select(F.col("doc_id").alias("hub"), F.col("n").cast("long").alias("hub_n")), "hub")
-    sets = sets.join(hubs, "component").join(ends, ["hub", "doc_id"], "left").drop("hub")
-    sets = materialize(sets.withColumn("f", F.expr(f"{h}L * both - {q}L * n")).withColumn("c", F.expr(f"{h}L * hub_n")), "join-reach")
-    # Pairs that their overlaps with the hub link: |x & y| >= |x & hub| + |y & hub| - |hub|.
-    bars = materialize(sets.where("f is not null").groupBy("component", "c", "f").agg(F.sum("w").alias("w")), "join-bars")
-    sure = bars.select("component", "c", "f").join(bars.select("component", F.col("f").alias("other"), "w"), "component").where("f + other >= c")
-    sure = sets.join(sure.groupBy("component", "f").agg(F.sum("w").alias("sure")), ["component", "f"]).select("doc_id", F.expr("sure - if(2 * f >= c, w, 0)").alias("links"))
-    # Pairs that they do not settle, from the lists.
-    rows = lists.drop("n").join(sets, "doc_id")
-    cols = ("doc_id", "n", "pos", "both", "f")
-    left = rows.where(p.leading).select("key", "component", *[F.col(c).alias(f"x_{c}") for c in cols], F.col("block").alias("x_block"))
+def _rest(lists: DataFrame, hubs: DataFrame, answers: DataFrame, p: _Pairs) -> DataFrame:
+    """Pairs of sets of different hubs that meet in a list and can link."""
+    rows = lists.join(hubs.select("doc_id", "hub"), "doc_id")
+    left = rows.where(p.leading).select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "hub", "block")])
     opened = rows.withColumn("x_block", F.explode(F.array("block", F.col("block") - 1)))
-    open_ = f"(x_both is null or both is null or (x_f + f < c and {h}L * least(x_both + n - both, both + x_n - x_both) >= {q}L * (x_n + n)))"
-    unsure = left.join(opened, ["key", "component", "x_block"]).where("x_doc_id <> doc_id").where(p.possible("x_n", "x_pos", "n", "pos")).where(open_)
-    unsure = materialize(unsure.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct(), "join-unsure")
-    told = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-    unsure = materialize(unsure.join(told, ["a", "b"], "left"), "join-told")
-    more = _answers(docs, unsure.where("linked is null").select("a", "b"), shown, p, width)
-    linked = unsure.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
-    both = linked.union(linked.select("b", "a"))
-    compared = both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("w").alias("links"))
-    all_ = weights.select("doc_id", (F.col("w") - 1).alias("links")).union(sure).union(compared)
-    return all_.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("n_links"))
+    pairs = left.join(opened, ["key", "x_block"]).where("x_doc_id <> doc_id and x_hub <> hub").where(p.possible("x_n", "x_pos", "n", "pos"))
+    pairs = pairs.select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct()
+    return materialize(pairs.join(_either_way(answers), ["a", "b"], "left_anti"), "join-rest")
+
+
+def _around(docs: DataFrame, hubs: DataFrame, weights: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, links, other`` from the blocks around hubs, and the ``hub`` of each such group.
+
+    A group of a hub and one more set needs none: their answer is known.
+    """
+    groups = hubs.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("hub") != F.col("doc_id")).alias("others")).where("others > 1")
+    groups = materialize(groups.select("hub", "m"), "join-groups")
+    asked = hubs.join(groups, "hub", "left_semi").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    unlike = _compare(docs, asked, _differences(width), "hub long, doc_id long, n long, unlike array<long>", "join-unlike")
+    # A repeated pair of texts cannot be: an id stands for one text.
+    sizes = unlike.groupBy("hub").agg(F.count("*").alias("m"), F.sum(F.size("unlike")).alias("tokens"))
+    chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("tokens") / CHUNK_TOKENS)).cast("int")
+    x = unlike.join(weights, "doc_id").join(sizes.select("hub", chunks.alias("chunks")), "hub")
+    x = x.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    x = x.select("hub", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "doc_id", "n", "w", "unlike")
+    out = materialize(x.groupBy("hub", "low", "high").applyInArrow(_blocks(percent), "doc_id long, links long, other long"), "join-around")
+    release(unlike)
+    return out, groups
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -395,7 +468,6 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Each text of a repeated id is a node of its own; the id ties their components together.
         docs = materialize(docs.join(repeated, "doc_id", "left").select(F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("id")), "join-nodes")
     members, counts, comps = linked_classes(docs, "doc_id", "text", width, percent)
-    members = materialize(members, "join-members")
     label = comps.select(F.col("node").alias("rep"), "component")
     if several:
         names = docs.where("id is not null").select("doc_id", "id").distinct()
@@ -407,7 +479,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = members.join(label, "rep", "left")
     out = out.join(counts, "rep", "left")
     links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"), links.alias("n_links"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"), links.alias("n_links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
