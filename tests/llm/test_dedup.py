@@ -163,8 +163,8 @@ def test_maximal_repeats_lists_all_members():
 def test_line_dedup(spark):
     block = "\n".join(f"line number {i} of a shared block" for i in range(12))
     rows = [(1, "head one\n" + block + "\ntail one", "x"), (2, block, "y"), (3, "other\n" + block, "z"), (4, None, "n"), (5, "", "e"), (6, "single", None), (7, "single", None), (None, block, "q"), (2, block, "again")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _n_lines string")
-    got = {(r.doc_id, r._n_lines): r.text for r in L.dedup_lines(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, cut string")
+    got = {(r.doc_id, r.cut): r.text for r in L.dedup_lines(df).collect()}
     assert got[1, "x"] == rows[0][1] and got[4, "n"] is None and got[5, "e"] == "" and got[6, None] == "single"
     assert len(got[2, "y"]) < len(block) / 2 and len(got[3, "z"]) < len(rows[2][1]) / 2 and "other" in got[3, "z"]
     assert all(x in block.split("\n") for x in got[2, "y"].split("\n") if x)

@@ -88,6 +88,14 @@ def test_packing(spark):
     for i, t, *_ in rows:
         want[i] += len(WORD.findall(t or ""))
     assert total == want
+    # Bounds of least padding, and places by id and piece, whatever the partitions.
+    histogram = Counter(r.n_tokens for r in got)
+    assert sum(r.padding for r in got) == brute_buckets(histogram, 4)
+    number = {}
+    for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.piece, r.n_tokens)):
+        number.setdefault(r.bucket_tokens, []).append((r.doc_id, r.piece, r.n_tokens))
+    for r in got:
+        assert number[r.bucket_tokens][r.batch * max(1, 2000 // max(r.bucket_tokens, 1)) + r.slot] == (r.doc_id, r.piece, r.n_tokens)
     slots = Counter((r.bucket_tokens, r.batch, r.slot) for r in got)
     assert set(slots.values()) == {1} and len({r.bucket_tokens for r in got}) <= 4
     sizes = Counter((b, k) for b, k, _ in slots)
@@ -131,6 +139,11 @@ def test_classifier_separates_and_holds_out(spark):
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
     out = [r for r in got if r.held_out]
     assert sum(r.predicted == bool(r.doc_id % 3) for r in out) >= 0.9 * len(out)
+    # The same from end to end, one document at a time.
+    known = {i: q for i, q, _ in labels if i is not None and q is not None and i < len(rows) and zlib.crc32(str(i).encode()) % 5}
+    model = K.Model.fit(np.array([K.features(rows[i][1]) for i in known]), np.array(list(known.values())), Counter(known.values()))
+    want = {i: model.score(K.features(t)[None, :])[0] for i, t, *_ in rows}
+    assert all(abs(r.score - want[r.doc_id]) < 0.02 for r in got)
     # Held-out labels change nothing.
     flipped = [(i, 1 - q if q is not None and i is not None and zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]
     again = K.query(docs, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")).collect()
@@ -146,7 +159,9 @@ def test_votes_equal_brute_force():
     got = m.score(y, neighbours=7)
     for k, row in enumerate(y):
         v = row * m.weights
-        v = v / np.linalg.norm(v) @ m.axes
+        v[: K.WORDS] /= np.linalg.norm(v[: K.WORDS])
+        v[K.WORDS :] /= np.linalg.norm(v[K.WORDS :])
+        v = v @ m.axes
         cosine = m.vectors @ (v / np.linalg.norm(v))
         near = np.argsort(-cosine)[:7]
         w = np.maximum(cosine[near], 0) ** K.SHARPNESS * np.where(labels[near] == 1, 90 / 20, 30 / 20)

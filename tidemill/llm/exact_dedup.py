@@ -11,8 +11,9 @@ Fingerprints are grouped with partial aggregation, and both joins have plain shu
 sides, so adaptive execution can split the key of a very large group.
 
 Defined results: a null text counts as empty; equal texts with equal ids are told apart
-by row, and exactly one row of a group stays; null ids sort after all others; an empty
-table gives an empty result; other columns are ignored.
+by row, and exactly one row of a group stays; null ids sort after all others, and rows
+without an id are compared by SHA-256 instead of chunk by chunk; ids may be of any type; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,11 +105,11 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = rows.mapInArrow(_fingerprint_batches, "id long, size long, fp1 long, fp2 long, sha string")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    prints = rows.mapInArrow(_fingerprint_batches, f"id {dict(rows.dtypes)['id']}, size long, fp1 long, fp2 long, sha string")
     prints = materialize(prints.withColumn("row", F.monotonically_increasing_id()), "exact-prints")
     key = ["size", "fp1", "fp2"]
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "sha")).alias("first")
     groups = materialize(prints.groupBy(*key).agg(first, F.count("*").alias("n")), "exact-groups")
     differ = materialize(_differences(rows, prints, groups, key), "exact-differences")
     if differ.isEmpty():
@@ -131,7 +132,9 @@ def _differences(rows: DataFrame, prints: DataFrame, groups: DataFrame, key: lis
     pieces = F.posexplode(F.expr(f"transform(sequence(0L, {last}), i -> substring(bytes, cast(i * {COMPARED} + 1 as int), {COMPARED}))")).alias("chunk", "piece")
     chunks = held.select(*key, "keep", "id", pieces)
     kept = chunks.where("id = keep").select("keep", "chunk", F.col("piece").alias("against"))
-    return chunks.where("id <> keep").join(kept, ["keep", "chunk"], "left").where("against is null or piece <> against").select(*key)
+    # Rows without an id cannot be found again by it: their SHA-256 tells them apart.
+    nameless = prints.where("id is null").join(groups.where("n > 1"), key).where("sha <> first.sha").select(*key)
+    return chunks.where("id <> keep").join(kept, ["keep", "chunk"], "left").where("against is null or piece <> against").select(*key).union(nameless)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ and cover all sets; they decide cost, never results.
 Defined results: null and empty texts have empty sets and link with nothing; rows with
 one id are in one component, linked by any of their texts; links are counted by row, to
 all other rows with an id, one's own included, whose sets are similar; a null id links with nothing and has
-a null component; an empty table gives an empty result; other columns are ignored.
+a null component; an empty table gives an empty result; other columns are ignored; ids
+that are not whole numbers are refused.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices
+from .common import free_name, materialize, release, slices
 from .components import components
 
 WIDTH = 5
@@ -461,6 +462,8 @@ def _around(docs: DataFrame, hubs: DataFrame, weights: DataFrame, width: int, pe
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id`` (smallest id reachable by links) and ``n_links``."""
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is to be a whole number; number the rows first")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "join-repeated")
     several = not repeated.isEmpty()
@@ -484,8 +487,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component, one row for each such id."""
-    groups = jaccard_join(df, id_col, text_col, width, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(groups, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(df, "_kept")
+    groups = jaccard_join(df, id_col, text_col, width, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(groups, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ Defined results: a null text stays null, an empty one empty; a text that loses a
 lines becomes empty (``dedup_lines``) or goes (``keep_unseen``, unless it had no lines to
 lose); texts of fewer than MIN_LINES lines are never touched; rows with one id are one
 document, so their equal chunks are first together; null ids sort last; an empty table
-gives an empty result; extra columns are carried through.
+gives an empty result; extra columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices
-from .spans import KEY, cut, marked
+from .common import free_name, materialize, release, slices
+from .spans import KEY, cut, marked, restored, with_words
 
 MIN_LINES = 2
 #: One in so many line positions is a boundary, on average, beyond the least length.
@@ -127,20 +127,22 @@ def _with_line_end(spans: DataFrame) -> DataFrame:
     return spans.select(*KEY, F.when(first, F.col("start")).otherwise(F.col("start") - 1).alias("start"), F.when(first, F.col("stop") + 1).otherwise(F.col("stop")).alias("stop"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``df`` with repeated chunks gone from ``text_col`` and two more columns, ``_n_removed`` and ``_n_bytes``."""
+def _cut_lines(df: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
     spans = materialize(_with_line_end(repeated_chunks(df, id_col, text_col, min_lines)), "line-spans")
-    x = cut(df, spans, id_col, text_col, as_text=True)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
-    return x.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], "_n_bytes", "_n_removed")
+    return cut(df, spans, id_col, text_col, as_text=True)
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """``df`` with repeated chunks gone from ``text_col``, and ``cut`` as last column: the numbers of bytes, of those removed, and of spans."""
+    said = F.struct("cut.n_bytes", "cut.n_removed", "cut.n_spans").alias(free_name(df, "cut"))
+    return _cut_lines(df, id_col, text_col, min_lines).select(*restored(df, text_col), said)
 
 
 def keep_unseen(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """``df`` with repeated chunks gone, without the texts of which nothing but white space is left."""
-    x = dedup_lines(df, id_col, text_col, min_lines)
-    return x.where((F.col("_n_removed") == 0) | F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")).drop("_n_bytes", "_n_removed")
+    return _cut_lines(df, id_col, text_col, min_lines).where(with_words()).select(*restored(df, text_col))
 
 
 def query(docs: DataFrame) -> DataFrame:
     x = dedup_lines(docs.select("doc_id", "text"))
-    return x.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return x.select("doc_id", "cut.n_bytes", "cut.n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

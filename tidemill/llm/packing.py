@@ -6,8 +6,9 @@ so it fits on the driver at every input size.  A dynamic programme over it finds
 bucket boundaries with the least padding; inside each bucket, sequences fill batches
 whose padded size stays within a token budget.
 
-Batches need a running number inside each bucket.  It comes from a written table's
-partitions: each partition counts its rows by bucket, the counts become offsets, and a
+Batches need a running number inside each bucket, by id and piece, so it does not depend
+on how the table is stored.  Sequences are sorted in ranges, which rows of one id share
+if need be, and written; each partition counts its rows by bucket, the counts become offsets, and a
 row's number is its partition's offset plus its place there.  So one bucket may hold any
 share of the rows.
 
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, release, words
 
 MAX_TOKENS = 4096
 BUCKETS = 16
@@ -94,7 +95,11 @@ def pack(df: DataFrame, n_tokens: Column, max_tokens: int = MAX_TOKENS, buckets:
     ``batch`` counts from 0 inside its bucket, ``slot`` inside its batch; a batch has at
     most ``budget // bucket_tokens`` rows (one at least).
     """
-    seqs = materialize(sequences(df, n_tokens, max_tokens, id_col).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pack-sequences")
+    cut = materialize(sequences(df, n_tokens, max_tokens, id_col).withColumn("tie", F.monotonically_increasing_id()), "pack-cut")
+    order = ["doc_id", "piece", "n_tokens", "tie"]
+    ranged = cut.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    seqs = materialize(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "pack-sequences")
+    release(cut)
     bounds = boundaries({r[0]: r[1] for r in seqs.groupBy("n_tokens").count().collect()}, buckets)
     bucket = F.lit(bounds[-1] if bounds else 0)
     for b in reversed(bounds[:-1]):

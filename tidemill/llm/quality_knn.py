@@ -1,9 +1,11 @@
 """Quality classifier: similarity-weighted nearest-neighbour voting in a latent space.
 
-Features of a text are rates of hashed byte pairs and of a few surface marks (repeated
-words, capitals, symbols, digits, repeated lines, length).  Weighted by rarity and
-normalised, they are projected on the leading singular vectors of the labelled sample
-(latent semantic analysis).  The labelled vectors are broadcast, each block of documents
+Terms of a text are its words in lower case, and their forms: letters, capitals and digits
+as one sign a run, other characters as they are, and repetitions as terms of their own (a
+word after itself, a word seen before, a line seen before).  Words and forms are hashed
+into one space, weighted by rarity, normalised as two families of equal weight, and
+projected on the leading singular vectors of the labelled sample (latent semantic
+analysis).  The labelled vectors are broadcast, each block of documents
 is multiplied with all of them, so cosines are exact, and the nearest vote with their
 similarities.
 
@@ -14,17 +16,21 @@ row stands for.
 
 Defined results: a null text counts as empty; where no neighbour is similar, and where
 one label or none is known, the score is the share of label 1 among training labels (0.5
-without any); labels that are null or without a document are passed over; repeated rows
+without any); labels that are null or without a document are passed over; of several
+labels of one id the largest counts, and of its several texts the least; repeated rows
 are scored one by one; an empty table gives an empty result; other columns, language and
 source among them, are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,40 +42,52 @@ NEIGHBOURS = 15
 #: A neighbour votes with its cosine to this power.
 SHARPNESS = 8
 THRESHOLD = 0.3
-HASHED = 2048
-MARKS = 8
-#: A mark weighs as much as so many byte pairs.
-MARK_WEIGHT = 8.0
-WIDTH = HASHED + MARKS
+#: Slots for words and for forms.
+WORDS, FORMS = 3072, 1024
+WIDTH = WORDS + FORMS
 
-_SLOT = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)
-_SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>{}[]=_~^\\", dtype=np.uint8))
+_RUN = re.compile(rb"[a-z\x80-\xff]+|[A-Z]+|[0-9]+")
+#: Terms that no word has.
+_AGAIN, _SEEN, _LINE = b"\n1", b"\n2", b"\n3"
 
 
-def features(text: str | None) -> np.ndarray:
-    """Logarithms of rates per thousand bytes; all zero for an empty text."""
+def form(word: bytes) -> bytes:
+    """Runs of letters as ``a``, of capitals as ``A``, of digits as ``0``, all else as it is."""
+    return _RUN.sub(lambda m: b"a" if m[0][0] >= 97 else b"A" if m[0][0] >= 65 else b"0", word)
+
+
+def _form_slot(term: bytes) -> int:
+    return WORDS + xxhash.xxh3_64_intdigest(term) % FORMS
+
+
+class _Slots(dict):
+    """The slots of a word and of its form, kept while there are not too many."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        if len(self) >= 1 << 18:
+            self.clear()
+        out = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) % WORDS, _form_slot(form(word)))
+        return out
+
+
+def features(text: str | None, slots: _Slots | None = None) -> np.ndarray:
+    """Logarithms of rates per hundred words; all zero for a text without words."""
     out = np.zeros(WIDTH, dtype=np.float32)
     raw = (text or "").encode("utf-8", "surrogatepass")
-    if not raw:
+    words = raw.split()
+    if not words:
         return out
-    data = np.frombuffer(raw, dtype=np.uint8)
-    n = len(data)
-    pairs = data[:-1].astype(np.int64) << 8 | data[1:]
-    counts = np.bincount(_SLOT[pairs], minlength=HASHED)
-    words, lines = raw.split(), raw.split(b"\n")
-    marks = [
-        sum(map(bytes.__eq__, words, words[1:])) * 1000 / max(1, len(words)),
-        (len(words) - len(set(words))) * 100 / max(1, len(words)),
-        (len(lines) - len(set(lines))) * 1000 / len(lines),
-        np.count_nonzero((data >= 65) & (data <= 90)) * 1000 / n,
-        np.count_nonzero(_SYMBOLS[data]) * 1000 / n,
-        np.count_nonzero((data >= 48) & (data <= 57)) * 1000 / n,
-        np.count_nonzero(data == 33) * 1000 / n,
-        100 / n,
-    ]
-    out[:HASHED] = np.log1p(counts * (1000 / n))
-    out[HASHED:] = MARK_WEIGHT * np.log1p(np.array(marks))
-    return out
+    slots = _Slots() if slots is None else slots
+    counts = Counter(words)
+    at = np.array([slots[w] for w in counts], dtype=np.int64)
+    n = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
+    np.add.at(out, at[:, 0], n)
+    np.add.at(out, at[:, 1], n)
+    lines = raw.split(b"\n")
+    out[_form_slot(_AGAIN)] += sum(map(bytes.__eq__, words, words[1:]))
+    out[_form_slot(_SEEN)] += len(words) - len(counts)
+    out[_form_slot(_LINE)] += len(lines) - len(set(lines))
+    return np.log1p(out * (100 / len(words)))
 
 
 class Model:
@@ -82,13 +100,21 @@ class Model:
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    @classmethod
+    def _scaled(cls, x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+        """Rows weighted by rarity, both families of terms with the same length."""
+        out = x * rarity
+        out[:, :WORDS] = cls._unit(out[:, :WORDS])
+        out[:, WORDS:] = cls._unit(out[:, WORDS:])
+        return out
+
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray, totals: dict[int, int], dimensions: int = DIMENSIONS) -> Model:
         """``totals``: training rows of each label, which the sampled ones stand for."""
         known = sum(totals.values())
         prior = totals.get(1, 0) / known if known else 0.5
         rarity = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1 if len(x) else np.ones(WIDTH, dtype=np.float32)
-        scaled = cls._unit(x * rarity) if len(x) else x
+        scaled = cls._scaled(x, rarity)
         k = min(dimensions, *scaled.shape) if len(x) else 0
         axes = np.zeros((WIDTH, max(k, 1)), dtype=np.float32)
         if k:
@@ -109,7 +135,7 @@ class Model:
         out = np.full(len(x), self.prior)
         if len(set(self.labels.tolist())) < 2 or not len(x):
             return out
-        cosine = self._unit(self._unit(x * self.weights) @ self.axes) @ self.vectors.T
+        cosine = self._unit(self._scaled(x, self.weights) @ self.axes) @ self.vectors.T
         k = min(neighbours, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         votes = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS * self.votes[near]
@@ -120,25 +146,34 @@ class Model:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    slots = _Slots()
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = [features(t.as_py()).astype("<f4").tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], names=["label", "x"])
+            rows = [features(t.as_py(), slots) for t in part.column("text")]
+            at = [np.flatnonzero(x) for x in rows]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("label"), pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([x[a].astype("<f4").tobytes() for x, a in zip(rows, at, strict=True)], pa.binary())],
+                names=["label", "at", "x"],
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
     """A model from ``labels(id_col, label_col)`` with values 0 and 1, the bounded sample of each."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    # Each id once, and only those with a document: they are counted and sampled alike.
+    known = known.groupBy("id").agg(F.max("label").alias("label")).join(texts.select("id"), "id", "left_semi")
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     sample = None
     for c in (0, 1):
         some = known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
         sample = some if sample is None else sample.union(some)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # The sample has a proven bound, so it may be broadcast; one row of each id is enough.
-    held = texts.join(F.broadcast(sample.dropDuplicates(["id"])), "id").select("label", "text")
-    rows = held.mapInArrow(_extract, "label int, x binary").limit(4 * per_class).collect()
-    x = np.array([np.frombuffer(bytes(r[1]), dtype="<f4") for r in rows], dtype=np.float32).reshape(-1, WIDTH)
+    # The sample has a proven bound, so it may be broadcast, and its features come to the driver.
+    held = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    rows = held.mapInArrow(_extract, "label int, at binary, x binary").collect()
+    x = np.zeros((len(rows), WIDTH), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(bytes(r[1]), dtype="<i4")] = np.frombuffer(bytes(r[2]), dtype="<f4")
     return Model.fit(x, np.array([r[0] for r in rows], dtype=np.int64), totals)
 
 
@@ -147,12 +182,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, slots = shared.value, _Slots()
         for batch in batches:
             for part in slices(batch, "text"):
                 at = range(0, part.num_rows, 512)
                 texts = part.column("text")
-                found = [m.score(np.array([features(t.as_py()) for t in texts.slice(i, 512)]).reshape(-1, WIDTH)) for i in at]
+                found = [m.score(np.array([features(t.as_py(), slots) for t in texts.slice(i, 512)]).reshape(-1, WIDTH)) for i in at]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.concatenate(found), pa.float64())], names=["doc_id", "score"])
 
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

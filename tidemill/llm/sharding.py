@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import free_name, materialize, release
 
 BITS = 60
 #: Bits by which cells are finer than shards on average, and bits added in each further pass.
@@ -68,10 +68,11 @@ def _split(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame,
 
 
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``df`` as Parquet partitioned by shard; a shard's rows share one task, which its limit bounds."""
-    taken = shard(df, limit, id_col, text_col).select(F.col("doc_id").alias("_id"), F.concat_ws("-", "depth", "shard").alias("shard")).distinct()
-    rows = df.drop("shard").join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``df`` as Parquet partitioned by ``shard`` (``shard_`` where ``df`` has that column); a shard's rows share one task, which its limit bounds."""
+    name, key = free_name(df, "shard"), free_name(df, "_id")
+    taken = shard(df, limit, id_col, text_col).select(F.col("doc_id").alias(key), F.concat_ws("-", "depth", "shard").alias(name)).distinct()
+    rows = df.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col(key))).drop(key)
+    rows.repartition(name).write.partitionBy(name).parquet(path)
 
 
 def query(docs: DataFrame) -> DataFrame:

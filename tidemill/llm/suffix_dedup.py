@@ -21,8 +21,8 @@ are compared in groups that can share a window:
 
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing;
 repeated rows are separate texts, so a repeated row of LENGTH bytes or more loses all its
-bytes; an empty table gives an empty result; extra columns are carried through by
-``remove_repeats``.
+bytes; an empty table gives an empty result; ids may be of any type; extra columns are
+carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices
-from .spans import KEY, cut, marked
+from .common import free_name, materialize, release, slices
+from .spans import KEY, cut, marked, restored, with_words
 
 LENGTH = 400
 GRAM = 64
@@ -199,18 +199,20 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGT
 def _trees(length: int):
     """Spans of repeated bytes in the single rows of each anchor's classes; the rows arrive sorted by anchor."""
 
-    def rows(batches: Iterator[pa.RecordBatch]):
+    def rows(batches: Iterator[pa.RecordBatch], kinds: list[pa.DataType]):
         for batch in batches:
+            kinds[:] = [batch.schema.field(c).type for c in KEY]
             yield from zip(*[batch.column(c).to_pylist() for c in ("anchor", *KEY, "place", "first", "n", "piece")], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        kinds: list[pa.DataType] = []
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*KEY, "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.int64(), pa.int64()], strict=True)], names=[*KEY, "start", "stop"])
 
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
+        for _, group in groupby(rows(batches, kinds), key=lambda r: r[0]):
             group = list(group)
             if len(group) < 2 or all(r[5] > 1 for r in group):
                 continue
@@ -269,8 +271,9 @@ def _pieces(length: int):
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc_id, mark, start, stop``: spans that together cover the bytes of repeated windows."""
-    docs = marked(df.withColumn(id_col, F.col(f"`{id_col}`").cast("long")), id_col, text_col)
-    runs = docs.mapInArrow(_runs(length, gram), "anchor long, c1 long, c2 long, doc_id long, mark long, place long, first long, last long")
+    docs = marked(df, id_col, text_col)
+    kind = dict(docs.dtypes)["doc_id"]
+    runs = docs.mapInArrow(_runs(length, gram), f"anchor long, c1 long, c2 long, doc_id {kind}, mark long, place long, first long, last long")
     runs = materialize(runs.withColumn("row", F.monotonically_increasing_id()), "suffix-runs")
     key = ["anchor", "c1", "c2"]
     classes = materialize(runs.groupBy(*key).agg(F.count("*").alias("n"), F.min("row").alias("row")), "suffix-classes")
@@ -286,22 +289,22 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = docs.join(asked.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     # One of several equal rows is enough: a class's chosen row stands for its text.
     held = held.select(*KEY, "text", "asked")
-    pieces = materialize(held.mapInArrow(_pieces(length), "anchor long, doc_id long, mark long, place long, first long, n long, classes long, piece binary"), "suffix-pieces")
-    spans = "doc_id long, mark long, start long, stop long"
+    pieces = materialize(held.mapInArrow(_pieces(length), f"anchor long, doc_id {kind}, mark long, place long, first long, n long, classes long, piece binary"), "suffix-pieces")
+    spans = f"doc_id {kind}, mark long, start long, stop long"
     trees = pieces.where(f"classes <= {group}").drop("classes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(length), spans)
     hot = pieces.where(f"classes > {group}").dropDuplicates(["anchor", *KEY, "first"])
     out = whole.union(trees)
     if not hot.isEmpty():
-        windows = materialize(hot.mapInArrow(_windows(length), "doc_id long, mark long, start long, w1 long, w2 long"), "suffix-windows")
+        windows = materialize(hot.mapInArrow(_windows(length), f"doc_id {kind}, mark long, start long, w1 long, w2 long"), "suffix-windows")
         again = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "suffix-again")
         out = out.union(windows.join(again, ["w1", "w2"]).select(*KEY, "start", (F.col("start") + length).alias("stop")))
     return out
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``df`` with ``_kept`` (the bytes left), ``_n_bytes``, ``_n_removed`` and ``_n_spans``."""
+    """``df`` with ``cut`` as last column: the bytes ``kept``, and ``n_bytes``, ``n_removed`` and ``n_spans``."""
     spans = materialize(repeated_spans(df, id_col, text_col, length), "suffix-spans")
-    return cut(df, spans, id_col, text_col)
+    return cut(df, spans, id_col, text_col).select("row.*", F.col("cut").alias(free_name(df, "cut")))
 
 
 def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -310,12 +313,9 @@ def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     No copy of a repeat stays, the first one neither.
     """
     spans = materialize(repeated_spans(df, id_col, text_col, length), "suffix-spans")
-    x = cut(df, spans, id_col, text_col, as_text=True)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(f"`{text_col}`"))
-    x = x.where((F.col("_n_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    return x.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    return cut(df, spans, id_col, text_col, as_text=True).where(with_words()).select(*restored(df, text_col))
 
 
 def query(docs: DataFrame) -> DataFrame:
     x = remove_repeats(docs.select("doc_id", "text"))
-    return x.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return x.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
