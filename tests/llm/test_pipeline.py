@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import xxhash
+
 import corpus_pipeline as C
 from tidemill.llm import line_dedup as L
 from tidemill.llm import quality_rules as Q
@@ -22,16 +24,40 @@ def good(i, t):
     return (i, f"{t}\nThe end of it, and the rest is in the house with you, as it was.", "en", "src", 0)
 
 
+def units(data):
+    """First and last byte of every chunk and window of a text, straight from their definitions."""
+    lines = data.split(b"\n")
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
+    out, first, n = set(), 0, len(lines)
+    for i in range(n):
+        rolling = sum(hashes[i - j] * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(L.WINDOW) if i >= j) % (1 << 64)
+        if i + 1 == n or (i + 1 - first >= L.MIN_LINES and n - i - 1 >= L.MIN_LINES and (rolling >> 32) % L.DIVISOR == 0):
+            part = b"\n".join(lines[first : i + 1])
+            if i + 1 - first >= L.MIN_LINES and part.strip():
+                out.add((starts[first], starts[first] + len(part)))
+            first = i + 1
+    for i in range(n - L.MIN_LINES + 1):
+        if all(x.strip() for x in lines[i : i + L.MIN_LINES]):
+            out.add((starts[i], starts[i + L.MIN_LINES] - 1))
+    return out
+
+
 def line_brute(rows):
     first, out = {}, {}
-    parts = {i: [(a, b, n) for a, b, n in L.chunks(t.encode())] for i, t in sorted(rows.items())}
     for i in sorted(rows):
-        for a, b, n in parts[i]:
-            if n >= L.MIN_LINES:
-                first.setdefault(rows[i].encode()[a:b], (i, a))
+        data = rows[i].encode()
+        for a, b in sorted(units(data)):
+            first.setdefault(data[a:b], (i, a))
     for i, t in rows.items():
         data = t.encode()
-        gone = [(a - 1, b) if a else (0, b + 1) for a, b, n in parts[i] if n >= L.MIN_LINES and data[a:b].strip() and first[data[a:b]] != (i, a)]
+        gone = []
+        for a, b in units(data):
+            doc, at = first[data[a:b]]
+            if doc != i or a >= at + b - a:
+                gone.append((a - 1, b) if a else (0, b + 1))
         left = data
         for a, b in reversed(union_of(gone)):
             left = left[:a] + left[b:]
@@ -55,6 +81,14 @@ def repeat_brute(rows, length):
     return out
 
 
+def test_line_dedup_equals_brute_force(spark):
+    rows = {i: t for i, t, *_ in texts(n=30) if i is not None and t and i != 3}
+    body = rows[5].split("\n") + rows[9].split("\n")
+    rows |= {500 + k: "\n".join([*body[k : k + 3 + k % 5], f"own {k}", *body[2 * k : 2 * k + 2], "", *body[:2]]) for k in range(len(body))}
+    got = rows_of(L.keep_unseen(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")))
+    assert got == line_brute(rows) and got != rows
+
+
 def test_stages_equal_brute_force(spark, tmp_path):
     rows = [good(i, t) for i, t, *_ in texts(n=40) if i is not None and t]
     rows += [(900, None, None, None, None), (901, "short", "en", "s", 5), (902, rows[0][1] + " ***" * 300, "en", "s", 0)]

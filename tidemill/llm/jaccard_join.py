@@ -486,10 +486,20 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, one row for each such id."""
-    name = free_name(df, "_kept")
+    """The rows of ``df`` whose id is the smallest of its component; of several rows of one id the one with the least text.
+
+    Rows without an id link with nothing, so all of them stay.
+    """
+    name, place = free_name(df, "_kept"), free_name(df, "_place")
+    own = F.col(f"`{id_col}`")
     groups = jaccard_join(df, id_col, text_col, width, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(name)).distinct()
-    return df.join(groups, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
+    kept = df.join(groups, own.eqNullSafe(F.col(name)), "left_semi")
+    again = materialize(df.where(own.isNotNull()).groupBy(own.alias(name)).count().where("count > 1").select(name), "join-again")
+    if again.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_last()))
+    one = kept.join(again, own == F.col(name), "left_semi").withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return kept.join(again, own == F.col(name), "left_anti").unionByName(one)
 
 
 def query(docs: DataFrame) -> DataFrame:
