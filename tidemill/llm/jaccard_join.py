@@ -14,8 +14,9 @@ Texts become sets of word shingles.  The join is exact and skips work on two lev
   are compared in blocks, and what leaves a block are link counts and a spanning forest,
   not pairs.
 
-Only pairs of different hubs that neither level can skip are compared by rebuilding both
-shingle sets from the whole texts.  A pair's prefixes bound its overlap before that.
+Only pairs of different hubs that neither level can skip are compared one by one, and a
+pair's prefixes bound its overlap before that.  The whole sets of what is compared are made
+from whole texts, once each.
 
 Cost: a group of G sets around one hub takes about G * G / CHUNK rows of differences and
 vector products over G * G pairs; it is the one step that is not near-linear, as the
@@ -136,40 +137,26 @@ def _scan(width: int, percent: int, whole: bool):
     return run
 
 
-def _overlaps(width: int):
-    """Sizes of both shingle sets of a pair and of their intersection."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            for part in slices(batch, "text_b", 1 << 20):
-                a, b = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
-                # Rows of one pair side stand together, so its set is built once for each stretch.
-                heads = list(dict.fromkeys(a))
-                sets = dict(zip(heads, shingle_sets(heads, words, width), strict=True))
-                left, right = [sets[t] for t in a], shingle_sets(b, words, width)
-                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
-                sizes = [pa.array([len(x) for x in side], pa.int64()) for side in (left, right)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *sizes, pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
-
-    return run
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of an array of lists, without copies."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _differences(width: int):
-    """Per pair (hub, set) the size of the set and the tokens that only one of both has."""
+def _measure(percent: int):
+    """Sizes of both sets of a pair and of their intersection; from a similarity of ``percent`` on also the tokens that just one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in batches:
-            for part in slices(batch, "text_b", 1 << 20):
-                a, b = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
-                heads = list(dict.fromkeys(a))
-                hubs = dict(zip(heads, shingle_sets(heads, words, width), strict=True))
-                sets = shingle_sets(b, words, width)
-                unlike = [np.setxor1d(hubs[t], x, assume_unique=True).view(np.int64) for t, x in zip(a, sets, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(d) for d in unlike])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(unlike)))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([len(x) for x in sets], pa.int64()), lists], names=["hub", "doc_id", "n", "unlike"])
+            left, right = _rows(batch.column("keys_a")), _rows(batch.column("keys_b"))
+            unlike = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
+            na, nb, d = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right, unlike))
+            both = (na + nb - d) // 2
+            near = (100 + percent) * both >= percent * (na + nb)
+            parts = [u if ok else u[:0] for u, ok in zip(unlike, near, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(u) for u in parts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), mask=pa.array(~near))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(na), pa.array(nb), pa.array(both), lists], names=["a", "b", "na", "nb", "both", "unlike"])
 
     return run
 
@@ -219,9 +206,7 @@ def _blocks(percent: int):
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_numpy()
         ids, n, w = (table.column(c).to_numpy() for c in ("doc_id", "n", "w"))
-        lists = table.column("unlike").combine_chunks()
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        sets = _rows(table.column("unlike").combine_chunks())
         d = np.array([len(x) for x in sets], dtype=np.int64)
         same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
         a = np.flatnonzero(chunk == table.column("low")[0].as_py())
@@ -265,20 +250,8 @@ def _ordered(hits: DataFrame) -> DataFrame:
     return x.select("key", "doc_id", "n", pos.cast("int").alias("pos"), "m")
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, compare, kinds: str, tag: str) -> DataFrame:
-    """What ``compare`` makes of the whole texts of ``pairs(a, b)``."""
-    # The texts of the pairs' documents alone go on to the joins: all texts are shuffled just once.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "join-texts")
-    one = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    out = materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(compare, kinds), tag)
-    release(texts)
-    return out
-
-
-def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The join: ``(members, counts, comps)``.  An id may stand for one text only.
+def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, repeated: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The join: ``(members, counts, comps)``.  An id may stand for one text only, in several rows if ``repeated``.
 
     ``members``: doc_id, n, rep (the smallest id with an equal set).  ``counts``: rep,
     n_links, the rows that link with a row of rep's class.  ``comps``: node, component over
@@ -290,28 +263,29 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(parts.select("doc_id", "n", "f1", "f2"), "join-rows")
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "join-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    once = lambda x: x.dropDuplicates(["doc_id"]) if repeated else x
     known = docs.where("doc_id is not null")
     pairs = _Pairs(percent)
-    first = materialize(parts.where("n > 0").select("doc_id", "n", "keys").join(reps.hint("merge"), "doc_id", "left_semi"), "join-first")
+    first = materialize(once(parts.where("n > 0").select("doc_id", "n", "keys").join(reps.hint("merge"), "doc_id", "left_semi")), "join-first")
     release(parts)
-    lists = _lists(known, first, pairs, width)
+    sets = _Sets(lambda ids: once(known.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(width, percent, True), kinds).select("doc_id", "n", "keys")))
+    lists = _lists(first, sets, pairs)
     release(first)
     members = materialize(rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "join-members")
     release(rows, classes)
     # Each set's listed tokens, which tell how many of its prefix it shares with another one.
     shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-shown")
-    star = _star(lists, pairs)
-    answers = _answers(known, star, shown, pairs, width, MEASURED)
+    answers, held = _answers(sets, _star(lists, pairs), shown, pairs, MEASURED)
     hubs = _hubs(answers, shown)
-    more = _answers(known, _nearer(lists, hubs, answers), shown, pairs, width, MEASURED)
+    more, again = _answers(sets, _nearer(lists, hubs, answers), shown, pairs, MEASURED)
     answers = answers.unionByName(more)
     release(hubs)
     hubs = _hubs(answers, shown)
-    more = _answers(known, _rest(lists, hubs, answers, pairs), shown, pairs, width, percent)
+    more, last = _answers(sets, _rest(lists, hubs, answers, pairs), shown, pairs, percent)
     answers = answers.unionByName(more)
+    release(lists, *sets.tables)
     weights = materialize(members.where("rep is not null and doc_id is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("w")), "join-weights")
-    release(lists, shown)
-    around, groups = _around(known, hubs, weights, width, percent)
+    around, groups = _around(answers, hubs, shown, weights, percent)
     # Links of sets with one hub are told by the blocks, all others by single answers.
     told = answers.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hub = lambda c: hubs.select(F.col("doc_id").alias(c), F.col("hub").alias(f"hub_{c}"))
@@ -322,13 +296,35 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("w").alias("links"))
     all_ = weights.select("doc_id", (F.col("w") - 1).alias("links")).union(around.select("doc_id", "links")).union(compared)
     counts = materialize(all_.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("n_links")), "join-counts")
-    release(around, groups, hubs, single, weights)
+    release(around, groups, hubs, single, weights, shown, *held, *again, *last)
     return members, counts, comps
 
 
-def _lists(docs: DataFrame, first: DataFrame, p: _Pairs, width: int) -> DataFrame:
-    """``key, doc_id, n, pos, block``: the prefixes of all sets, less tokens that no other set has there."""
-    kinds = "doc_id long, n long, f1 long, f2 long, keys array<long>"
+class _Sets:
+    """Whole sets, made from whole texts when first asked for, once each."""
+
+    def __init__(self, make):
+        self.make, self.tables = make, []
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """``doc_id, n, keys`` of all sets made so far, those of ``ids(doc_id)`` among them."""
+        for t in self.tables:
+            ids = ids.join(t.select("doc_id"), "doc_id", "left_anti")
+        new = materialize(ids, "join-new")
+        if not self.tables or not new.isEmpty():
+            self.tables.append(materialize(self.make(new), "join-sets"))
+        release(new)
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.union(t)
+        return out
+
+
+def _lists(first: DataFrame, sets: _Sets, p: _Pairs) -> DataFrame:
+    """``key, doc_id, n, pos, block``: the prefixes of all sets, less tokens that no other set has there.
+
+    ``first``: the tokens that each set shows at first.
+    """
     explode = lambda x: x.select("doc_id", F.col("n").cast("int").alias("n"), F.size("keys").alias("given"), F.posexplode("keys").alias("pos", "key"))
     index = explode(first)
     shared = materialize(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "join-keys")
@@ -337,16 +333,16 @@ def _lists(docs: DataFrame, first: DataFrame, p: _Pairs, width: int) -> DataFram
     often = F.count_if(F.col("m") > FREQUENT)
     short = hits.groupBy("doc_id", "n", "given").agg(often.alias("often")).where(f"given < n and given - often < {p.prefix('n')}")
     short = materialize(short.select("doc_id").distinct(), "join-short")
-    tokens = explode(docs.join(short.hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(width, p.percent, True), kinds).where("n > 0"))
+    tokens = explode(sets.of(short))
     heavy = _ordered(tokens.join(shared, "key", "left").withColumn("m", F.coalesce("m", F.lit(0)))).where(f"pos < {p.prefix('n')}")
     heavy = materialize(heavy, "join-heavy")
     # Tokens that thereby came in, where other sets show them.
     late = index.join(heavy.where("m < 2").select("key").distinct().hint("merge"), "key", "left_semi").withColumn("m", F.lit(1).cast("long"))
     light = hits.union(late.select(*hits.columns)).join(short, "doc_id", "left_anti")
-    whole = _ordered(light).where(f"pos < {p.prefix('n')}").union(heavy)
+    listed = _ordered(light).where(f"pos < {p.prefix('n')}").union(heavy)
     # Blocks of a factor 100 / percent: similar sets lie in one block or in neighbouring ones.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.percent))).cast("int")
-    lists = materialize(whole.select("key", "doc_id", "n", "pos", block.alias("block")), "join-lists")
+    lists = materialize(listed.select("key", "doc_id", "n", "pos", block.alias("block")), "join-lists")
     release(hits, short, shared, heavy)
     return lists
 
@@ -389,14 +385,21 @@ class _Pairs:
         return x.groupBy("a", "b").agg(F.max(ok).alias("ok"))
 
 
-def _answers(docs: DataFrame, pairs: DataFrame, shown: DataFrame, p: _Pairs, width: int, percent: int) -> DataFrame:
-    """``a, b, both, linked`` of each pair: the overlap, null where a bound was enough to tell that it is less than ``percent``."""
+def _answers(sets: _Sets, pairs: DataFrame, shown: DataFrame, p: _Pairs, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``a, b, na, nb, both, unlike, linked`` of each pair, and the tables that hold it.
+
+    ``both`` and ``unlike`` are null where a bound was enough to tell that the similarity
+    is less than ``percent``, ``unlike`` also where the overlap told it.
+    """
     asked = materialize(p.bounded(pairs, shown, percent), "join-asked")
-    tested = _compare(docs, asked.where("ok").select("a", "b"), _overlaps(width), "a long, b long, na long, nb long, both long", "join-tested")
-    told = tested.groupBy("a", "b").agg(F.max("both").alias("both"), F.max(F.expr(p.linked)).alias("linked"))
-    out = materialize(told.union(asked.where("not ok").select("a", "b", F.lit(None).cast("long"), F.lit(False))), "join-answers")
-    release(asked, tested)
-    return out
+    wanted = asked.where("ok").select("a", "b")
+    there = sets.of(wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    side = lambda c: there.select(F.col("doc_id").alias(c), F.col("keys").alias(f"keys_{c}"))
+    x = wanted.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "keys_a", "keys_b")
+    tested = materialize(x.mapInArrow(_measure(percent), "a long, b long, na long, nb long, both long, unlike array<long>"), "join-tested")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("na", "long"), ("nb", "long"), ("both", "long"), ("unlike", "array<long>"))]
+    told = tested.withColumn("linked", F.expr(p.linked)).union(asked.where("not ok").select("a", "b", *none, F.lit(False)))
+    return told, [asked, tested]
 
 
 def _star(lists: DataFrame, p: _Pairs) -> DataFrame:
@@ -409,7 +412,7 @@ def _star(lists: DataFrame, p: _Pairs) -> DataFrame:
 
 def _hubs(answers: DataFrame, shown: DataFrame) -> DataFrame:
     """``doc_id, hub, fame``: of the sets that a set was compared with, itself included, the one compared with most sets."""
-    exact = answers.where("both is not null")
+    exact = answers.where("unlike is not null")
     ends = exact.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")).union(exact.select("b", "a")).union(shown.select(F.col("doc_id").alias("hub"), "doc_id")).distinct()
     fame = ends.groupBy("hub").agg(F.count("*").alias("fame"))
     best = ends.join(fame, "hub").groupBy("doc_id").agg(F.max(F.struct("fame", (-F.col("hub")).alias("less"))).alias("top"))
@@ -440,21 +443,26 @@ def _rest(lists: DataFrame, hubs: DataFrame, answers: DataFrame, p: _Pairs) -> D
     return materialize(pairs.join(_either_way(answers), ["a", "b"], "left_anti"), "join-rest")
 
 
-def _around(docs: DataFrame, hubs: DataFrame, weights: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _around(answers: DataFrame, hubs: DataFrame, shown: DataFrame, weights: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, links, other`` from the blocks around hubs, and the ``hub`` of each such group.
 
     A group of a hub and one more set needs none: their answer is known.
     """
-    groups = hubs.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("hub") != F.col("doc_id")).alias("others")).where("others > 1")
-    groups = materialize(groups.select("hub", "m"), "join-groups")
-    asked = hubs.join(groups, "hub", "left_semi").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    unlike = _compare(docs, asked, _differences(width), "hub long, doc_id long, n long, unlike array<long>", "join-unlike")
-    # A repeated pair of texts cannot be: an id stands for one text.
+    groups = hubs.groupBy("hub").agg(F.count_if(F.col("hub") != F.col("doc_id")).alias("others")).where("others > 1").select("hub")
+    groups = materialize(groups, "join-groups")
+    near = answers.where("unlike is not null")
+    ends = near.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.col("nb").alias("n"), "unlike").union(near.select("b", "a", "na", "unlike"))
+    # A pair can be asked for from either side; the hub itself differs in nothing.
+    ends = ends.join(hubs.select("hub", "doc_id"), ["hub", "doc_id"], "left_semi").dropDuplicates(["hub", "doc_id"])
+    own = hubs.where("hub = doc_id").select("hub", "doc_id").join(shown.select("doc_id", F.col("n").cast("long").alias("n")), "doc_id").select("hub", "doc_id", "n", F.array().cast("array<long>").alias("unlike"))
+    unlike = materialize(ends.union(own).join(groups.hint("merge"), "hub", "left_semi").join(weights, "doc_id"), "join-unlike")
     sizes = unlike.groupBy("hub").agg(F.count("*").alias("m"), F.sum(F.size("unlike")).alias("tokens"))
     chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("tokens") / CHUNK_TOKENS)).cast("int")
-    x = unlike.join(weights, "doc_id").join(sizes.select("hub", chunks.alias("chunks")), "hub")
+    x = unlike.join(sizes.select("hub", chunks.alias("chunks")), "hub")
     x = x.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     x = x.select("hub", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "doc_id", "n", "w", "unlike")
+    # Dealt by pairs of chunks: what the join was dealt by would put all of a hub's into one task.
+    x = x.repartition("hub", "low", "high")
     out = materialize(x.groupBy("hub", "low", "high").applyInArrow(_blocks(percent), "doc_id long, links long, other long"), "join-around")
     release(unlike)
     return out, groups
@@ -470,7 +478,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if several:
         # Each text of a repeated id is a node of its own; the id ties their components together.
         docs = materialize(docs.join(repeated, "doc_id", "left").select(F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("id")), "join-nodes")
-    members, counts, comps = linked_classes(docs, "doc_id", "text", width, percent)
+    members, counts, comps = linked_classes(docs, "doc_id", "text", width, percent, several)
     label = comps.select(F.col("node").alias("rep"), "component")
     if several:
         names = docs.where("id is not null").select("doc_id", "id").distinct()
