@@ -147,6 +147,8 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group):
     rows = texts()
     long = rows[-3][1]
     rows += [(1000 + k, "q" * k + long[2000 : 3000 + 37 * k] + "r" * (3 * k), None, None, None) for k in range(8)]
+    # One passage amid other text on both sides, from different places on: one anchor with many classes.
+    rows += [(2000 + k, f"{k} begins " * 9 + long[5000 + 40 * (k % 5) : 5700 - 30 * (k % 7)] + f" ends {k}" * 9, None, None, None) for k in range(30)]
     want = suffix_brute([(t or "").encode() for _, t, *_ in rows], S.LENGTH)
     expected = sorted((str(r[0]), *w) for r, w in zip(rows, want))
     got = S.query(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -154,6 +156,12 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group):
     assert sum(w[1] for w in want) > 5000
 
 
+@given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20))
+@settings(max_examples=50, deadline=None)
+def test_widest_leaves_out_what_is_inside(found):
+    assert set(S.widest(found)) == {(b, a) for b, a in found if not any((x, y) != (b, a) and x >= b and y >= a for x, y in found)}
+
+
 def test_maximal_repeats_lists_all_members():
     parts = [(b"xxAB", b"CDyy"), (b"zzAB", b"CDyy"), (b"zzAB", b"CDzz"), (b"..QB", b"CD..")]
     found = {(back, ahead, tuple(sorted(m))) for back, ahead, m in S.maximal_repeats([left[::-1] for left, _ in parts], [r for _, r in parts], 3)}

@@ -16,8 +16,12 @@ are compared in groups that can share a window:
    Inside an interval the left contexts are sorted and scanned in the same way; an
    interval of theirs whose members differ in the byte further left is left-diverse, and
    so, with its prefix interval, a maximal repeat: it is put out with all its members.
-4. An anchor with more than ``GROUP`` classes is compared window by window instead:
-   windows are hashed and counted by Spark, again with partial aggregation.
+4. An anchor with more than ``GROUP`` classes is split, by what else its windows hold.
+   Windows that begin ``low`` to ``high`` bytes before the anchor all hold ``low`` bytes
+   before it and so many after it; halving that range makes more bytes common to its
+   windows, and rows go on in groups that agree in those bytes.  Groups that fit have
+   their trees; where the range is one offset, a group is one window, and it repeats if
+   it has two rows.  So no task has more than ``GROUP`` rows of a group.
 
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing;
 repeated rows are separate texts, so a repeated row of LENGTH bytes or more loses all its
@@ -41,7 +45,7 @@ from .spans import KEY, cut, marked, restored, with_words
 
 LENGTH = 400
 GRAM = 64
-GROUP = 2048
+GROUP = 256
 #: Bytes looked at together; places fit into 24 bits.
 BUFFER = 2 << 20
 
@@ -196,6 +200,15 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGT
                 yield agreed, common, members[a : b + 1]
 
 
+def widest(found: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those (back, ahead) that no other one reaches as far as on both sides."""
+    most = -1
+    for back, ahead in sorted(found, reverse=True):
+        if ahead > most:
+            most = ahead
+            yield back, ahead
+
+
 def _trees(length: int):
     """Spans of repeated bytes in the single rows of each anchor's classes; the rows arrive sorted by anchor."""
 
@@ -222,11 +235,11 @@ def _trees(length: int):
             best: dict[int, set[tuple[int, int]]] = {}
             for back, ahead, members in maximal_repeats(lefts, rights, length):
                 for m in members:
-                    best.setdefault(m, set()).add((back, ahead))
+                    if group[m][5] == 1:
+                        best.setdefault(m, set()).add((back, ahead))
             for m, found in best.items():
                 r = group[m]
-                if r[5] == 1:
-                    out += [(r[1], r[2], r[3] - back, r[3] + ahead) for back, ahead in found if not any((x, y) != (back, ahead) and x >= back and y >= ahead for x, y in found)]
+                out += [(r[1], r[2], r[3] - back, r[3] + ahead) for back, ahead in widest(found)]
             if len(out) > 20000:
                 yield batch()
                 out.clear()
@@ -236,21 +249,6 @@ def _trees(length: int):
     return run
 
 
-def _windows(length: int):
-    """The hash of every window of a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (first, piece) in enumerate(zip(batch.column("first").to_pylist(), batch.column("piece"), strict=True)):
-                data = piece.as_buffer().to_pybytes()
-                n = len(data) - length + 1
-                two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)), dtype=np.int64).reshape(-1, 2)
-                at = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(first + np.arange(n)), pa.array(two[:, 0]), pa.array(two[:, 1])], names=[*KEY, "start", "w1", "w2"])
-
-    return run
-
-
 def _pieces(length: int):
     """The bytes around each asked-for anchor of a document."""
 
@@ -291,16 +289,34 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = held.select(*KEY, "text", "asked")
     pieces = materialize(held.mapInArrow(_pieces(length), f"anchor long, doc_id {kind}, mark long, place long, first long, n long, classes long, piece binary"), "suffix-pieces")
     spans = f"doc_id {kind}, mark long, start long, stop long"
-    trees = pieces.where(f"classes <= {group}").drop("classes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(length), spans)
-    hot = pieces.where(f"classes > {group}").dropDuplicates(["anchor", *KEY, "first"])
-    out = whole.union(trees)
-    if not hot.isEmpty():
-        windows = materialize(hot.mapInArrow(_windows(length), f"doc_id {kind}, mark long, start long, w1 long, w2 long"), "suffix-windows")
-        again = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "suffix-again")
-        out = out.union(windows.join(again, ["w1", "w2"]).select(*KEY, "start", (F.col("start") + length).alias("stop")))
+    trees = lambda x: x.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(length), spans)
+    columns = ["anchor", *KEY, "place", "first", "n", "piece"]
+    out = whole.union(trees(pieces.where(f"classes <= {group}").select(*columns)))
+    left = pieces.where(f"classes > {group}").dropDuplicates(["anchor", *KEY, "first"]).select(*columns, F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
+    while not left.isEmpty():
+        groups = materialize(_halves(left, length), "suffix-halves")
+        sizes = groups.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1")
+        level = materialize(groups.join(sizes, "anchor"), "suffix-level")
+        release(groups)
+        out = out.union(trees(level.where(f"low < high and rows <= {group}").select(*columns)))
+        same = level.where("low = high")
+        out = out.union(same.select(*KEY, (F.col("place") - F.col("low")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop")))
+        left = level.where(f"low < high and rows > {group}").drop("rows")
     return out
 
 
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of both halves of their offsets' range, each under the digest of the bytes that all its windows hold."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))).alias("half")
+    x = rows.select("anchor", *KEY, "place", "first", "n", "piece", halves).where("half.low <= half.high")
+    # Offsets that a row's windows have: from its last window to its first.
+    x = x.where(f"half.low <= place - first and half.high >= place - first + {length} - length(piece)")
+    common = f"substring(piece, cast(place - first - half.low as int) + 1, half.low + {length} - half.high)"
+    key = F.md5(F.concat(F.expr(f"md5({common})"), F.concat_ws("-", F.lit(""), F.col("anchor").cast("string"), F.col("half.low").cast("string"), F.col("half.high").cast("string"))))
+    return x.select(key.alias("anchor"), *KEY, "place", "first", "n", "piece", "half.low", "half.high")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with ``cut`` as last column: the bytes ``kept``, and ``n_bytes``, ``n_removed`` and ``n_spans``."""
     spans = materialize(repeated_spans(df, id_col, text_col, length), "suffix-spans")
