@@ -3,11 +3,13 @@
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 
 import corpus_pipeline as C
 from tidemill.llm import line_dedup as L
 from tidemill.llm import quality_rules as Q
+from tidemill.llm import suffix_dedup as S
 from tidemill.llm.spans import union_of
 
 from .fixtures import SCHEMA, texts
@@ -68,12 +70,19 @@ def line_brute(rows):
 
 def repeat_brute(rows, length):
     data = {i: t.encode() for i, t in rows.items()}
-    starts = Counter(d[k : k + length] for d in data.values() for k in range(len(d) - length + 1))
+    first = {}
+    for i in sorted(data):
+        for k in range(len(data[i]) - length + 1):
+            first.setdefault(data[i][k : k + length], (i, k))
     out = {}
     for i, d in data.items():
-        gone = union_of([(k, k + length) for k in range(len(d) - length + 1) if starts[d[k : k + length]] > 1])
+        gone = []
+        for k in range(len(d) - length + 1):
+            doc, at = first[d[k : k + length]]
+            if doc != i or k >= at + length:
+                gone.append((k, k + length))
         left = d
-        for a, b in reversed(gone):
+        for a, b in reversed(union_of(gone)):
             left = left[:a] + left[b:]
         left = left.decode("utf-8", "ignore")
         if not gone or WORD.search(left):
@@ -81,6 +90,17 @@ def repeat_brute(rows, length):
     return out
 
 
+@pytest.mark.parametrize("group", [S.GROUP, 3])
+def test_repeats_keep_their_first_place(spark, monkeypatch, group):
+    monkeypatch.setattr(S.repeated_spans, "__defaults__", (*S.repeated_spans.__defaults__[:-1], group))
+    rows = {i: t for i, t, *_ in texts() if i is not None and t and i != 3}
+    long = max(rows.values(), key=len)
+    rows |= {1000 + k: f"{k} begins " * 9 + long[5000 + 40 * (k % 5) : 5700 - 30 * (k % 7)] + f" ends {k}" * 9 for k in range(30)}
+    rows |= {2000: long[100:900] * 3, 2001: "ab" * 400, 2002: long[300:700]}
+    got = rows_of(S.keep_unrepeated(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string"), length=C.PASSAGE))
+    assert got == repeat_brute(rows, C.PASSAGE) and len(got) < len(rows)
+
+
 def test_line_dedup_equals_brute_force(spark):
     rows = {i: t for i, t, *_ in texts(n=30) if i is not None and t and i != 3}
     body = rows[5].split("\n") + rows[9].split("\n")

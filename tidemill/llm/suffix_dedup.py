@@ -23,6 +23,10 @@ are compared in groups that can share a window:
    their trees; where the range is one offset, a group is one window, and it repeats if
    it has two rows.  So no task has more than ``GROUP`` rows of a group.
 
+``keep_first``: the first of the places of a window (by id, then place) keeps its bytes, and
+so does a window that overlaps its own first place.  Any repeat shows this by its least
+member, since a window's places are the members of one of the tree's repeats.
+
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing;
 repeated rows are separate texts, so a repeated row of LENGTH bytes or more loses all its
 bytes; an empty table gives an empty result; ids may be of any type; extra columns are
@@ -209,8 +213,15 @@ def widest(found: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield back, ahead
 
 
-def _trees(length: int):
-    """Spans of repeated bytes in the single rows of each anchor's classes; the rows arrive sorted by anchor."""
+def _trees(length: int, keep_first: bool):
+    """Spans of repeated bytes in the single rows of each anchor's classes; the rows arrive sorted by anchor.
+
+    ``keep_first``: in all rows but the least of each repeat.
+    """
+
+    def goes(r: tuple, least: tuple) -> bool:
+        """Whether a member's bytes go, which the least member has too."""
+        return r[1:3] != least[1:3] or r[3] >= least[3] + length
 
     def rows(batches: Iterator[pa.RecordBatch], kinds: list[pa.DataType]):
         for batch in batches:
@@ -227,15 +238,16 @@ def _trees(length: int):
 
         for _, group in groupby(rows(batches, kinds), key=lambda r: r[0]):
             group = list(group)
-            if len(group) < 2 or all(r[5] > 1 for r in group):
+            if len(group) < 2 or (not keep_first and all(r[5] > 1 for r in group)):
                 continue
             before = [r[3] - r[4] for r in group]
             lefts = [r[6][:k][::-1] for r, k in zip(group, before, strict=True)]
             rights = [r[6][k:] for r, k in zip(group, before, strict=True)]
             best: dict[int, set[tuple[int, int]]] = {}
             for back, ahead, members in maximal_repeats(lefts, rights, length):
+                least = min((group[m] for m in members), key=lambda r: ((1,) if r[1] is None else (0, r[1]), r[2], r[3])) if keep_first else None
                 for m in members:
-                    if group[m][5] == 1:
+                    if goes(group[m], least) if keep_first else group[m][5] == 1:
                         best.setdefault(m, set()).add((back, ahead))
             for m, found in best.items():
                 r = group[m]
@@ -267,41 +279,46 @@ def _pieces(length: int):
     return run
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``doc_id, mark, start, stop``: spans that together cover the bytes of repeated windows."""
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, group: int = GROUP) -> DataFrame:
+    """``doc_id, mark, start, stop``: spans that together cover the bytes of repeated windows, or of all but their first places."""
     docs = marked(df, id_col, text_col)
     kind = dict(docs.dtypes)["doc_id"]
     runs = docs.mapInArrow(_runs(length, gram), f"anchor long, c1 long, c2 long, doc_id {kind}, mark long, place long, first long, last long")
-    runs = materialize(runs.withColumn("row", F.monotonically_increasing_id()), "suffix-runs")
+    runs = materialize(runs, "suffix-runs")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "place")
     key = ["anchor", "c1", "c2"]
-    classes = materialize(runs.groupBy(*key).agg(F.count("*").alias("n"), F.min("row").alias("row")), "suffix-classes")
+    classes = materialize(runs.groupBy(*key).agg(F.count("*").alias("n"), F.min(order).alias("least")), "suffix-classes")
     several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
     several = materialize(several, "suffix-anchors")
-    known = classes.join(several, "anchor", "left").where("n > 1 or classes > 1").select(*key, "n", F.col("row").alias("chosen"), F.coalesce("classes", F.lit(1)).alias("classes"))
+    known = classes.join(several, "anchor", "left").where("n > 1 or classes > 1").select(*key, "n", "least", F.coalesce("classes", F.lit(1)).alias("classes"))
     known = materialize(known, "suffix-known")
     release(classes, several)
-    told = materialize(runs.join(known, key).where("n > 1 or row = chosen").select("anchor", *KEY, "place", "first", "last", "n", "classes", (F.col("row") == F.col("chosen")).alias("chosen")), "suffix-told")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))) | (F.col("place") >= F.col("least.place") + length)
+    chosen = ~later if keep_first else F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")) & (F.col("place") == F.col("least.place"))
+    # One row stands for its class in a tree; the few others that overlap it have first places of their own to find.
+    told = runs.join(known, key).withColumn("chosen", chosen).where("n > 1 or chosen")
+    told = materialize(told.select("anchor", *KEY, "place", "first", "last", "n", "classes", "chosen", "least"), "suffix-told")
     release(runs, known)
-    whole = told.where("n > 1").select(*KEY, F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    asked = told.where("chosen and classes > 1").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "place", "first", "last", "n", "classes")).alias("asked"))
+    whole = told.where("n > 1").where(later if keep_first else F.lit(True)).select(*KEY, F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    asked = told.where("chosen and classes > 1").groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "place", "first", "last", "n", "classes")).alias("asked"))
     held = docs.join(asked.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     # One of several equal rows is enough: a class's chosen row stands for its text.
     held = held.select(*KEY, "text", "asked")
     pieces = materialize(held.mapInArrow(_pieces(length), f"anchor long, doc_id {kind}, mark long, place long, first long, n long, classes long, piece binary"), "suffix-pieces")
     spans = f"doc_id {kind}, mark long, start long, stop long"
-    trees = lambda x: x.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(length), spans)
+    trees = lambda x: x.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(length, keep_first), spans)
     columns = ["anchor", *KEY, "place", "first", "n", "piece"]
     out = whole.union(trees(pieces.where(f"classes <= {group}").select(*columns)))
     left = pieces.where(f"classes > {group}").dropDuplicates(["anchor", *KEY, "first"]).select(*columns, F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
     while not left.isEmpty():
         groups = materialize(_halves(left, length), "suffix-halves")
-        sizes = groups.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1")
-        level = materialize(groups.join(sizes, "anchor"), "suffix-level")
+        sizes = groups.groupBy("anchor").agg(F.count("*").alias("rows"), F.min(order).alias("least")).where("rows > 1")
+        level = materialize(groups.join(sizes, "anchor").withColumn("later", later), "suffix-level")
         release(groups)
         out = out.union(trees(level.where(f"low < high and rows <= {group}").select(*columns)))
-        same = level.where("low = high")
+        same = level.where("low = high").where(F.col("later") if keep_first else F.lit(True))
         out = out.union(same.select(*KEY, (F.col("place") - F.col("low")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop")))
-        left = level.where(f"low < high and rows > {group}").drop("rows")
+        left = level.where(f"low < high and rows > {group}").drop("rows", "least", "later")
     return out
 
 
@@ -326,9 +343,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with its texts less their repeats, without the texts of which nothing but white space is left.
 
-    No copy of a repeat stays, the first one neither.
+    The first place of a repeat keeps it, so no text is lost to all documents.
     """
-    spans = materialize(repeated_spans(df, id_col, text_col, length), "suffix-spans")
+    spans = materialize(repeated_spans(df, id_col, text_col, length, keep_first=True), "suffix-spans")
     return cut(df, spans, id_col, text_col, as_text=True).where(with_words()).select(*restored(df, text_col))
 
 
