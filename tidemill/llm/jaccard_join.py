@@ -54,8 +54,11 @@ WIDTH = 5
 PERCENT = 80
 #: A token that more sets than this show is frequent, and comes last in the order of tokens.
 FREQUENT = 16
-#: Sets are measured against leaders and hubs down to this similarity, in hundredths; it decides cost, never results.
-MEASURED = 60
+#: Sets are measured against leaders and hubs if a bound leaves this similarity open, in hundredths,
+#: and can have a hub that is as similar as this; both decide cost, never results.
+MEASURED, NEAR = 60, 30
+#: So many ids may be broadcast; more are shuffled.
+FEW = 1 << 12
 #: Sets, and tokens of their differences, in a chunk of those around one hub.
 CHUNK, CHUNK_TOKENS = 512, 1 << 18
 #: Columns of a product of blocks.
@@ -268,7 +271,7 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = _Pairs(percent)
     first = materialize(once(parts.where("n > 0").select("doc_id", "n", "keys").join(reps.hint("merge"), "doc_id", "left_semi")), "join-first")
     release(parts)
-    sets = _Sets(lambda ids: once(known.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_scan(width, percent, True), kinds).select("doc_id", "n", "keys")))
+    sets = _Sets(lambda ids: once(known.join(ids, "doc_id", "left_semi").mapInArrow(_scan(width, percent, True), kinds).select("doc_id", "n", "keys")))
     lists = _lists(first, sets, pairs)
     release(first)
     members = materialize(rows.join(classes, ["f1", "f2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "join-members")
@@ -277,7 +280,7 @@ def linked_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shown = materialize(lists.groupBy("doc_id", "n").agg(F.collect_list("key").alias("keys")), "join-shown")
     answers, held = _answers(sets, _star(lists, pairs), shown, pairs, MEASURED)
     hubs = _hubs(answers, shown)
-    more, again = _answers(sets, _nearer(lists, hubs, answers), shown, pairs, MEASURED)
+    more, again = _answers(sets, _nearer(lists, hubs, answers, sets), shown, pairs, MEASURED)
     answers = answers.unionByName(more)
     release(hubs)
     hubs = _hubs(answers, shown)
@@ -311,9 +314,13 @@ class _Sets:
         for t in self.tables:
             ids = ids.join(t.select("doc_id"), "doc_id", "left_anti")
         new = materialize(ids, "join-new")
-        if not self.tables or not new.isEmpty():
-            self.tables.append(materialize(self.make(new), "join-sets"))
+        n = new.count()
+        if n or not self.tables:
+            self.tables.append(materialize(self.make(F.broadcast(new) if n <= FEW else new.hint("merge")), "join-sets"))
         release(new)
+        return self.all()
+
+    def all(self) -> DataFrame:
         out = self.tables[0]
         for t in self.tables[1:]:
             out = out.union(t)
@@ -389,14 +396,14 @@ def _answers(sets: _Sets, pairs: DataFrame, shown: DataFrame, p: _Pairs, percent
     """``a, b, na, nb, both, unlike, linked`` of each pair, and the tables that hold it.
 
     ``both`` and ``unlike`` are null where a bound was enough to tell that the similarity
-    is less than ``percent``, ``unlike`` also where the overlap told it.
+    is less than ``percent``, ``unlike`` also where the overlap tells that it is less than NEAR.
     """
     asked = materialize(p.bounded(pairs, shown, percent), "join-asked")
     wanted = asked.where("ok").select("a", "b")
     there = sets.of(wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     side = lambda c: there.select(F.col("doc_id").alias(c), F.col("keys").alias(f"keys_{c}"))
     x = wanted.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "keys_a", "keys_b")
-    tested = materialize(x.mapInArrow(_measure(percent), "a long, b long, na long, nb long, both long, unlike array<long>"), "join-tested")
+    tested = materialize(x.mapInArrow(_measure(NEAR), "a long, b long, na long, nb long, both long, unlike array<long>"), "join-tested")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("na", "long"), ("nb", "long"), ("both", "long"), ("unlike", "array<long>"))]
     told = tested.withColumn("linked", F.expr(p.linked)).union(asked.where("not ok").select("a", "b", *none, F.lit(False)))
     return told, [asked, tested]
@@ -419,13 +426,17 @@ def _hubs(answers: DataFrame, shown: DataFrame) -> DataFrame:
     return materialize(best.select("doc_id", (-F.col("top.less")).alias("hub"), F.col("top.fame").alias("fame")), "join-hubs")
 
 
-def _nearer(lists: DataFrame, hubs: DataFrame, answers: DataFrame) -> DataFrame:
-    """New pairs (hub, set): each set with the most compared hub of its lists, where that is not its own."""
+def _nearer(lists: DataFrame, hubs: DataFrame, answers: DataFrame, sets: _Sets) -> DataFrame:
+    """New pairs (hub, set): each set with the most compared hub of its lists, where that is not its own.
+
+    Only of sets that are there already: one that no leader asked for is near none of them.
+    """
     rows = lists.select("key", "block", "doc_id").join(hubs, "doc_id")
     tops = rows.groupBy("key", "block").agg(F.max(F.struct("fame", "hub")).alias("top"))
     opened = rows.withColumn("block", F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)))
     best = opened.join(tops, ["key", "block"]).groupBy("doc_id").agg(F.max("top").alias("top"), F.first("fame").alias("fame"))
     asked = best.where("top.fame > fame and top.hub <> doc_id").select(F.col("top.hub").alias("a"), F.col("doc_id").alias("b"))
+    asked = asked.join(sets.all().select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
     return asked.join(_either_way(answers), ["a", "b"], "left_anti")
 
 
@@ -512,3 +523,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 def query(docs: DataFrame) -> DataFrame:
     return jaccard_join(docs)
+
+
+ORACLE = """
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+e as (select doc_id, len(s) as n, hash(unnest(s)) as t from s),
+p as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as shared from e x join e y on x.t = y.t and x.doc_id < y.doc_id group by 1, 2),
+o as (select a, b from p where 100 * shared >= 80 * (na + nb - shared)),
+l as (select a, b from o union all select b, a from o),
+r as (select a as node, b as reach from l union select r.node, l.b from r join l on l.a = r.reach),
+c as (select node, min(reach) as low from r group by 1),
+d as (select a as node, count(*) as n_links from l group by 1)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id, cast(coalesce(n_links, 0) as bigint) as n_links
+from s left join c on c.node = doc_id left join d on d.node = doc_id"""

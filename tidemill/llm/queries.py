@@ -35,4 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op5_sharding": sharding.oracle()}
+    return {
+        "op1_quality_rules": quality_rules.oracle(),
+        "op2_jaccard_join": jaccard_join.ORACLE,
+        "op3_exact_dedup": exact_dedup.ORACLE,
+        "op5_sharding": sharding.oracle(),
+        "op7_suffix_dedup": suffix_dedup.ORACLE,
+    }

@@ -352,3 +352,18 @@ def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def query(docs: DataFrame) -> DataFrame:
     x = remove_repeats(docs.select("doc_id", "text"))
     return x.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+with h as (select doc_id, coalesce(hex(encode(text)), '') as x from documents),
+k as (select doc_id, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) as w from (select doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH} + 1)) as i from h)),
+again as (select w from k group by w having count(*) > 1),
+d as (select doc_id, i from k semi join again using (w)),
+m as (select *, case when i - lag(i) over (partition by doc_id order by i) <= {LENGTH} then 0 else 1 end as opens from d),
+g as (select *, sum(opens) over (partition by doc_id order by i) as span from m),
+s as (select doc_id, span, min(i) as a, max(i) + {LENGTH} as b from g group by 1, 2),
+f as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as before from s),
+o as (select doc_id, sum(b - a) as gone, count(*) as spans, max(b) as stop, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as head from f join h using (doc_id) group by doc_id)
+select doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when gone is null then x else head || substr(x, 2 * stop + 1) end)) as kept_sha256
+from h left join o using (doc_id)"""
