@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import parse_qs
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.spec import QueryError, TagFilter
+from ..plans.spec import QueryError, TagFilter, parse_filter, parse_loose_map
 from .filters import matching
 
 
@@ -35,6 +37,16 @@ def lookup(series: DataFrame, metric: str, filters: tuple[TagFilter, ...] = (),
     return x.orderBy("metric", "series").offset(start).limit(limit)
 
 
+def lookup_text(series: DataFrame, query: str) -> DataFrame:
+    """``lookup`` for the query string of a GET: ``m=metric{k=v,...}``, ``limit`` and ``startIndex``; no match is an error."""
+    p = parse_qs(query.lstrip("?"))
+    if "m" not in p:
+        raise QueryError("m is missing")
+    metric, brace, tags = p["m"][-1].partition("{")
+    filters = tuple(parse_filter(k, v) for k, v in parse_loose_map(brace + tags).items()) if brace else ()
+    return lookup(series, metric, filters, int(p.get("limit", ["25"])[-1]), int(p.get("startIndex", ["0"])[-1]), strict=True)
+
+
 def checkpoints(lines: DataFrame) -> DataFrame:
     """``leader, channel, checkpoint``: the last of each, from rows ``text leader:channel:cp, seq``."""
     parts = F.split("text", ":", 3)

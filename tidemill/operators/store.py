@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ..plans.query import Tables
 from ..schema import POINTS_SCHEMA, SECONDS, arrival, named, series_table, tag_pairs, with_day, with_series
 from . import rollup as R
+from .metadata import checkpoints
 
 ROLLED_SCHEMA = "batch string, day date"
 
@@ -194,6 +196,41 @@ class Store:
         points, _ = parse(lines, resolution=self.resolution)
         self.append(points.where(F.col("ts").between(start, end)))
 
+    def maintain(self, compact_after: int = 1, retain: int | None = None) -> list[str]:
+        """What a timer is to do now and then; returns the days compacted.
+
+        Retention first; then days that are ``compact_after`` or more behind the newest one
+        and lie in several batches are compacted; last, stale rollups are made anew.
+        """
+        if retain is not None:
+            self.retain(retain)
+        there = self.batches()
+        old = sorted(there)[: -compact_after or None]
+        ripe = [d for d in old if len(there[d]) > 1]
+        if ripe:
+            self.compact(*ripe)
+        self.write_rollups()
+        return ripe
+
+    def replicate(self, to: Store) -> int:
+        """Copy the batches that another store lacks, under their names, so copying again changes nothing; returns how many."""
+        theirs = to.batches()
+        lacking = {b for d, batches in self.batches().items() for b in batches - theirs.get(d, set())}
+        for batch in sorted(lacking):
+            to.append(self._all().where(F.col("batch") == batch).select("metric", "ts", "value", "tags", "seq", "series"), batch)
+        return len(lacking)
+
+    def add_checkpoint(self, text: str) -> None:
+        """Remember ``leader:channel:checkpoint``."""
+        row = self.spark.createDataFrame([(text, time.time_ns())], "text string, seq long")
+        row.coalesce(1).write.mode("append").parquet(self._at("checkpoints"))
+
+    def checkpoints(self) -> DataFrame:
+        """The last check-point of each leader and channel."""
+        kinds = "text string, seq long"
+        lines = self.spark.read.schema(kinds).parquet(self._at("checkpoints")) if self.exists("checkpoints") else self.spark.createDataFrame([], kinds)
+        return checkpoints(lines)
+
     def reject(self, rejects: DataFrame, batch: str) -> None:
         """Keep the lines that no parser took, ``text, seq``, by batch."""
         self._replace(rejects.withColumn("batch", F.lit(batch)), "rejects", "batch")

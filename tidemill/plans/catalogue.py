@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, filters, metadata, rollup
+from ..functions import timeparse
+from ..operators import admin, aggregate, filters, metadata, rollup
 from ..operators.points import last_write_wins
 from ..operators.store import Store
 from ..schema import canonical_tags, series_table
 from ..sources import tables as T
 from ..sources import text
-from ..sources.answers import to_json
+from ..sources.answers import ordered, to_json
+from ..streaming.ingest import file_lines, hourly_stream, ingest
 from .query import Tables, get, post
 from .spec import parse_filter
 
@@ -132,6 +134,15 @@ add("rate_counter", _m("sum:rate{counter,1000}:1h-sum:events.value{event_type=*}
 add("rate_drop_resets", _m("sum:rate{counter,1000,0,dropResets}:1h-sum:events.value{event_type=*}", digits=9), _rate.format(_plain, " and v >= v0"))
 add("rate_reset_value", _m("sum:rate{counter,1000,0.1}:1h-sum:events.value{event_type=*}", digits=9), _rate.format(f"case when v < v0 then case when {_wrap} > 0.1 then 0 else {_wrap} end else {_plain} end", ""))
 
+
+
+def _post_rate(spark: SparkSession, d: str) -> DataFrame:
+    q = {"metric": "events.value", "aggregator": "sum", "downsample": "1h-sum", "rate": True, "rateOptions": {"counter": True, "counterMax": 1000, "resetValue": 0.1}, "filters": [{"type": "literal_or", "tagk": "event_type", "filter": "click|view|purchase", "groupBy": True}]}
+    return flat(post(Tables(T.events(spark, d)), {"start": "2024/01/01", "end": "2024/01/31", "queries": [q]}, with_tags=False), 9)
+
+
+add("post_rate_options", _post_rate, ORACLE["rate_reset_value"] + " and event_type in ('click', 'view', 'purchase')")
+
 # Last write wins, and several sub-queries.
 add(
     "dedup_last_write",
@@ -150,6 +161,16 @@ _one = "select {} as query_index, 'event_type=' || event_type as result, b as ts
 add("multi_query_union", _multi, down("sum(value)", 86400, hi=END + 86399) + " union all ".join(_one.format(i, f) for i, f in enumerate(("sum", "max", "sum"))))
 
 
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Results by their tags and points by time, with their places in that order."""
+    x = get(Tables(T.events(spark, d)), f"{RANGE}&m=max:7d-max:events.value{{event_type=*,user_id=1*}}")
+    rows = [(i, r.result, r.ts, round(r.value, 6)) for i, r in enumerate(ordered(x).toLocalIterator())]
+    return spark.createDataFrame(rows, "place long, result string, ts long, value double")
+
+
+add("ordered_results", _ordered, down("max(value)", _WEEK, _w0, _w1, "user_id like '1%'") + f"select row_number() over (order by event_type, user_id, b) - 1 as place, {SERIES} as result, b as ts, round(v, 6) as value from d")
+
+
 # Rollups.
 def _hourly(spark: SparkSession, d: str) -> DataFrame:
     x = rollup.hourly(T.events(spark, d))
@@ -203,6 +224,37 @@ def _checkpoints(spark: SparkSession, d: str) -> DataFrame:
 
 add("latest_checkpoint", _checkpoints, "select event_type as leader, cast(user_id as varchar) as channel, cast(max(event_id) as varchar) as checkpoint from events group by 1, 2")
 
+
+
+def _lookup_text(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.lookup_text(_series(spark, d), "m=events.value{event_type=view,user_id=1*}&limit=30&startIndex=5").select("metric", "series")
+
+
+add("lookup_text", _lookup_text, f"with {BASE} select distinct 'events.value' as metric, {SERIES} as series from x where event_type = 'view' and user_id like '1%' order by 2 limit 30 offset 5")
+
+
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    now = 61_000
+    rows = [
+        ("relative", timeparse.instant("1m-ago", now)),
+        ("absolute", timeparse.instant("2024/10/07 08:48:26")),
+        ("east", timeparse.instant("2024/10/07", tz="UTC+1")),
+        ("west", timeparse.instant("2024/10/07", tz="UTC-1")),
+        ("numeric", timeparse.instant(1728290906)),
+        ("converted", timeparse.convert(7200, "s", "h")),
+        ("month from", timeparse.month_bounds(1728290906000)[0]),
+        ("month to", timeparse.month_bounds(1728290906000)[1]),
+        ("size", timeparse.size("4kb")),
+    ]
+    return spark.createDataFrame(rows, "name string, value long")
+
+
+add(
+    "time_functions",
+    _times,
+    "select * from (values ('relative', 1000), ('absolute', epoch_ms(timestamp '2024-10-07 08:48:26')), ('east', epoch_ms(timestamp '2024-10-06 23:00:00')), ('west', epoch_ms(timestamp '2024-10-07 01:00:00')), ('numeric', 1728290906000), ('converted', 2), ('month from', epoch_ms(timestamp '2024-10-01 00:00:00')), ('month to', epoch_ms(timestamp '2024-11-01 00:00:00')), ('size', 4096)) as t(name, value)",
+)
+
 # Wire formats: events written as text and parsed back.
 _back = lambda p: p.select("metric", "ts", "value", canonical_tags(F.col("tags")).alias("series"), "seq")
 _parsed = f"select 'events.value' as metric, cast(floor(epoch(ts)) as bigint) as ts, value, 'event_type=' || event_type || ',user_id=' || user_id as series, {{}} as seq from events"
@@ -280,6 +332,22 @@ def _gzip(spark: SparkSession, d: str) -> DataFrame:
     return points.select("metric", "ts", "value", canonical_tags(F.col("tags")).alias("series"))
 
 
+def _datagrams(spark: SparkSession, d: str) -> DataFrame:
+    """Lines without ``put``, of metrics whose names begin like control lines."""
+    points = T.events(spark, d).withColumn("metric", F.concat(F.element_at(F.array(F.lit("stats."), F.lit("help."), F.lit("version.")), (F.col("seq") % 3 + 1).cast("int")), F.lit("x")))
+    lines = text.to_put(points).withColumn("text", F.substring("text", 5, 10000))
+    return _back(text.parse_put(lines, prefix=False)[0])
+
+
+add("parse_datagrams", _datagrams, _parsed.format("event_id").replace("'events.value' as metric", "case event_id % 3 when 0 then 'stats.x' when 1 then 'help.x' else 'version.x' end as metric"))
+
+
+def _field(spark: SparkSession, d: str) -> DataFrame:
+    points, _ = text.parse_line_protocol(_line_lines(T.events(spark, d)))
+    return flat(get(Tables(points), f"{RANGE}&m=sum:1h-sum:events.value{{_field=v,event_type=*}}", with_tags=False))
+
+
+add("filter_field", _field, down("sum(value)") + outer("sum(v)", "'_field=v,event_type=' || event_type").replace("'_field=v,event_type='", "'_field=v,event_type='"))
 add("parse_gzip", _gzip, f"select metric, ts, value, series from ({_parsed.format('event_id')})")
 add("aggregator_list", lambda s, d: aggregate.listing(s), "select unnest(['avg', 'bottom1', 'bottom3', 'bottom5', 'bottom9', 'count', 'dev', 'first', 'last', 'max', 'min', 'none', 'p50', 'p90', 'p95', 'p98', 'p99', 'p999', 'sum', 'top1', 'top3', 'top5', 'top9']) as name")
 add("filter_list", lambda s, d: filters.listing(s).select("name"), "select unnest(['literal_or', 'iliteral_or', 'not_literal_or', 'not_iliteral_or', 'wildcard', 'iwildcard', 'regexp']) as name")
@@ -344,8 +412,6 @@ from n join u using (event_type) group by event_type, users, one""",
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """Events as put lines in files, streamed into a store; the rollups that the stream keeps."""
-    from ..streaming.ingest import file_lines, ingest
-
     base = T.scratch(spark)
     text.to_put(T.events(spark, d)).select("text").write.text(f"{base}/lines")
     store = Store(spark, f"{base}/store")
@@ -355,3 +421,45 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("stream_rollup", _streamed, _roll.format(HOUR))
+
+
+def _closed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The append-only stream: hours that a watermark of one hour has closed, every line counted."""
+    base = T.scratch(spark)
+    text.to_put(T.events(spark, d)).select("text").write.text(f"{base}/lines")
+    hours = hourly_stream(file_lines(spark, f"{base}/lines"))
+    hours.writeStream.option("checkpointLocation", f"{base}/offsets").option("path", f"{base}/hours").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/hours").select("series", "ts", "cnt", "min", "max", F.round("sum", 6).alias("sum"))
+
+
+add("stream_hours", _closed_hours, f"with y as (select {SERIES} as series, cast(floor(epoch(ts)) as bigint) as t, value from events) select series, t - t % 3600 as ts, count(value) as cnt, min(value) as min, max(value) as max, round(sum(value), 6) as sum from y where t - t % 3600 + 3600 <= (select max(t) from y) - 3600 group by 1, 2")
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    store = _stored(spark, d)
+    store.write_rollups()
+    store.append(T.events(spark, d).where("seq < 100").drop("time", "series"))
+    return admin.own_metrics(store, START).select("metric", "ts", "value", canonical_tags(F.col("tags")).alias("series"))
+
+
+add(
+    "store_stats",
+    _stats,
+    f"""with {BASE}, e as (select *, cast(floor(epoch(ts)) as bigint) // 86400 as day from events), s as (select distinct day from e where event_id < 100),
+n as (select 'points' as name, (select count(*) from e) + (select count(*) from e where event_id < 100) as value
+union all select 'series', (select count(distinct {SERIES}) from x) union all select 'days', (select count(distinct day) from e)
+union all select 'batches', (select count(*) from (select distinct day, event_id % 2 from e)) + (select count(*) from s) union all select 'stale_days', (select count(*) from s))
+select 'tidemill.' || name as metric, cast({START} as bigint) as ts, cast(value as double) as value, 'host=local' as series from n""",
+)
+
+
+def _replica(spark: SparkSession, d: str) -> DataFrame:
+    """A store copied twice, then kept by its timer: each point once, whatever was copied again."""
+    store, other = _stored(spark, d), Store(spark, T.scratch(spark))
+    store.replicate(other)
+    store.replicate(other)
+    other.maintain()
+    return flat(get(other.tables(), f"{RANGE}&m=sum:1d-sum:events.value{{event_type=*}}", with_tags=False))
+
+
+add("replicate_and_maintain", _replica, down("sum(value)", 86400, hi=END + 86399) + outer("sum(v)", "'event_type=' || event_type"))
