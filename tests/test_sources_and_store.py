@@ -101,3 +101,108 @@ def test_streaming(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("hours").count() >= 1
+
+
+def test_repeats_are_settled_not_errors(spark):
+    good, bad = X.parse_put(lines(spark, f"put m {T0} 1 a=1 b=2 a=3", f"put m {T0} 1 a=1 b", "put m"))
+    assert rows(good) == [("m", T0, 1.0, (("a", "3"), ("b", "2")))] and len(bad.collect()) == 2
+    good, bad = X.parse_line_protocol(lines(spark, f"m,a=1,a=2 f=1,f=2 {T0}", f"m,_field=x,b=1 f=3 {T0}", f"m,a f=1 {T0}", f"m f {T0}"))
+    assert rows(good) == [("m", T0, 2.0, (("_field", "f"), ("a", "2"))), ("m", T0, 3.0, (("_field", "f"), ("b", "1")))] and len(bad.collect()) == 2
+    got = rows(X.parse_exposition(lines(spark, 'up{host="old",a="1",a="2"} 1'), now=T0, host="new"))
+    assert got == [("up", T0, 1.0, (("a", "2"), ("host", "new")))]
+    tags = lines(spark, "a=1,b=2,a=3").select(X.parse_raw_tags(X.F.col("text")).alias("t")).first().t
+    assert tags == {"a": "3", "b": "2"}
+    good, counts = X.parse_json(lines(spark, f'{{"metric":"m","timestamp":{T0},"value":1,"tags":{{"a":"1","a":"2"}}}}'))
+    assert len(good.collect()) + counts.first().failed == 1
+
+
+def test_control_lines_are_whole_lines(spark):
+    texts = ["version", "stats", "help\r", "_cp l:c:1", "don't forward", "help me", "statsx", f"put stats.cpu {T0} 1 a=b"]
+    good, bad = X.parse_put(lines(spark, *texts))
+    assert [r[0] for r in rows(good)] == ["stats.cpu"] and sorted(r.text for r in bad.collect()) == ["help me", "statsx"]
+    good, bad = X.parse_put(lines(spark, f"stats.cpu {T0} 1 a=b", f"help {T0} 2", "version"), prefix=False)
+    assert [r[0] for r in rows(good)] == ["help", "stats.cpu"] and [r.text for r in bad.collect()] == ["version"]
+
+
+def test_arrival_is_one_order_for_all_forms(spark):
+    from tidemill.operators.points import last_write_wins
+
+    point = lambda v: f'{{"metric":"m","timestamp":{T0},"value":{v},"tags":{{"a":"b"}}}}'
+    got = lambda *texts: [r.value for r in last_write_wins(X.parse(lines(spark, *texts))[0]).collect()]
+    assert got(f"put m {T0} 1 a=b", f"[{point(2)},{point(3)}]", f"put m {T0} 4 a=b") == [4.0]
+    assert got(f"put m {T0} 1 a=b", f"[{point(2)},{point(3)}]") == [3.0]
+
+
+def test_many_batches_keep_their_order(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    store = Store(spark, str(tmp_path / "s"))
+    for k in range(10):
+        (source / f"{k}.txt").write_text(f'[{{"metric":"m","timestamp":{T0},"value":{k},"tags":{{"a":"b"}}}},{{"metric":"m","timestamp":{T0 + 1},"value":{k},"tags":{{"a":"b"}}}}]\n')
+        ingest(file_lines(spark, str(source), 1), store, str(tmp_path / "c"), renew=4, once=True).awaitTermination()
+    assert store.points().count() == 20 and store.stale_days() == store.days()
+    q = f"start={T0}&end={T0 + 9}&m=none:m"
+    assert [r.value for r in Q.get(store.tables(), q, with_tags=False).collect()] == [9.0, 9.0]
+    q = f"start={T0 // 3600 * 3600}&end={T0 + 3600}&m=sum:1h-sum:m"
+    assert [r.value for r in Q.get(store.tables(), q, with_tags=False).collect()] == [18.0]
+    plain = Store(spark, str(tmp_path / "p"))
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.txt").write_text("m,a=b f=1\n")
+    ingest(file_lines(spark, str(tmp_path / "lines")), plain, str(tmp_path / "d"), kind="line", once=True).awaitTermination()
+    assert plain.points().first().ts > T0
+
+
+def test_writes_and_compaction_can_be_repeated(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    make = lambda v, seq: spark.createDataFrame([("m", T0 + i, v, {"h": "a"}, seq) for i in range(5)], POINTS_SCHEMA)
+    for _ in range(2):
+        store.append(make(1.0, 1), "one")
+        store.append(make(2.0, 2), "two")
+    assert store.points().count() == 10 and store.series().count() == 1
+    store.write_rollups()
+    q = f"start={T0 - 100}&end={T0 + 100}&m=none:m"
+    values = lambda: [r.value for r in Q.get(store.tables(), q, with_tags=False).collect()]
+    delete = Store._delete
+
+    def stops(self, path):
+        raise OSError("stopped")
+
+    monkeypatch.setattr(Store, "_delete", stops)
+    try:
+        store.compact()
+    except OSError:
+        pass
+    assert store.points().count() == 15 and values() == [2.0] * 5
+    monkeypatch.setattr(Store, "_delete", delete)
+    store.compact()
+    assert store.points().count() == 5 and values() == [2.0] * 5
+    assert store.maintain() == [] and store.stale_days() == []
+    other = Store(spark, str(tmp_path / "o"))
+    assert store.replicate(other) == 1 and store.replicate(other) == 0 and other.points().count() == 5
+
+
+def test_administration(spark, tmp_path):
+    import pytest
+
+    from tidemill.operators.admin import admin, own_metrics, stream_metrics, version
+    from tidemill.operators.metadata import lookup_text
+    from tidemill.plans.spec import QueryError
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(spark.createDataFrame([("m", T0, 1.0, {"h": "a"}, 1)], POINTS_SCHEMA))
+    admin(store, "rollup")
+    admin(store, "compact")
+    assert {r.name: r.value for r in admin(store, "stat").collect()} == {"points": 1, "series": 1, "days": 1, "batches": 1, "stale_days": 0}
+    admin(store, "cp", "l:c:1")
+    admin(store, "cp", "l:c:2")
+    assert [r.checkpoint for r in admin(store, "cp").collect()] == ["2"]
+    assert admin(store, "ping").first().answer == "pong" and version(spark).count() == 2 and admin(store, "cfg").count() >= 6
+    store.append(own_metrics(store, T0))
+    assert stream_metrics(spark).count() == 0 and store.points().count() == 6
+    assert lookup_text(store.series(), "m=m{h=a}").count() == 1
+    for wrong in ("m=nothing", "limit=3"):
+        with pytest.raises(QueryError):
+            lookup_text(store.series(), wrong)
+    with pytest.raises(QueryError):
+        admin(store, "fly")
+    assert len(admin(store, "gc", "0").collect()) == 1 and store.days() == []

@@ -25,7 +25,7 @@ def version(spark: SparkSession) -> DataFrame:
 def config(spark: SparkSession, store: Store | None = None) -> DataFrame:
     """``name, value`` of the settings that queries and stores depend on."""
     names = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.checkpoint.dir")
-    rows = [(n, str(spark.conf.get(n, ""))) for n in names]
+    rows = [(n, spark.conf.get(n, None)) for n in names]
     if store is not None:
         rows += [("store.path", store.path), ("store.resolution", store.resolution)]
     return spark.createDataFrame(rows, "name string, value string")
