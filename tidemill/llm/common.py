@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,68 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(_BASE)
+    return x ^ (x >> np.uint64(32))
+
+
+_BYTES = mix(mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP))
+#: Bytes that ``word_hashes`` looks at together, and powers of its base and of the inverse for so many.
+BUFFER = 1 << 18
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = max(n, BUFFER)
+    if size > BUFFER or not _powers:
+        made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, dtype=np.uint64)])) for b in (_BASE, _INVERSE))
+        if size > BUFFER:
+            return made
+        _powers[0] = made
+    return _powers[0]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in a buffer of bytes, and where they start.
+
+    A word's hash is a polynomial over a random number for each of its bytes, which comes
+    from one running sum over the buffer; the length is mixed in.  The buffer is cut where
+    words end, so memory is bounded but for a word that is longer than a buffer.
+    """
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + BUFFER)
+        if stop < len(data):
+            blank = np.flatnonzero(_BLANK[data[at:stop]])
+            if len(blank):
+                stop = at + int(blank[-1]) + 1
+            else:
+                after = next((k for k in range(stop, len(data), BUFFER) if _BLANK[data[k : k + BUFFER]].any()), None)
+                stop = len(data) if after is None else after + int(np.argmax(_BLANK[data[after : after + BUFFER]])) + 1
+        h, s = _hashes(data[at:stop])
+        hashes.append(h)
+        starts.append(s + at)
+        at = stop
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
+    blank = np.ones(n + 2, dtype=bool)
+    blank[1:-1] = _BLANK[data]
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    power, inverse = _powers_of(n)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
+    return mix(mix((sums[ends] - sums[starts]) * inverse[starts]) + (ends - starts).astype(np.uint64) * _STEP), starts
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores after it as make it differ from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -42,11 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, release, slices
+from .common import free_name, materialize, mix, release, slices, word_hashes
 from .components import components
 
 WIDTH = 5
@@ -67,44 +66,27 @@ SLICE = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept while there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_sets(texts: list[str | None], words: _Words | None = None, width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
-    Words are runs of other than ASCII white space, A-Z in lower case: what
-    ``bytes.lower`` and ``bytes.split`` do.
+    Words are runs of other than ASCII white space, A-Z in lower case.
     """
-    words = _Words() if words is None else words
-    parts = [[] if t is None else t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    sizes = [len(p) for p in parts]
-    ids = np.fromiter((words[w] for p in parts for w in p), dtype=np.uint64, count=sum(sizes))
+    parts = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() + b" " for t in texts]
+    ids, starts = word_hashes(np.frombuffer(b"".join(parts), dtype=np.uint8))
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([0, *map(len, parts)]))).tolist()
     n = max(0, len(ids) - width + 1)
     h = np.zeros(n, dtype=np.uint64)
     for j in range(width):
-        h = _mix(h * _STEP + ids[j : j + n])
+        h = mix(h * _STEP + ids[j : j + n])
     out, at = [], 0
     for size in sizes:
         if size >= width:
-            out.append(np.unique(h[at : at + size - width + 1]))
+            x = np.sort(h[at : at + size - width + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
         elif size:
             short = np.array([size], dtype=np.uint64)
             for x in ids[at : at + size]:
-                short = _mix(short * _STEP + x)
+                short = mix(short * _STEP + x)
             out.append(short)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -127,10 +109,9 @@ def _scan(width: int, percent: int, whole: bool):
     """Per document its set's size and fingerprint, and its least hashes (or all) in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text").to_pylist(), words, width)
+            for part in slices(batch, "text", 1 << 20):
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
                 keys = [(s if whole else s[: shown_length(len(s), percent) if len(s) else 0]) >> np.uint64(1) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
