@@ -23,15 +23,13 @@ ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, word_hashes
 
 ORDER = 5
 #: Bytes of text in a block of documents that is scored together.
@@ -47,18 +45,27 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def word_key(word: bytes) -> int:
-    """A negative number of 63 bits; strings are packed into positive ones."""
-    return ~(xxhash.xxh3_64_intdigest(word) >> 1)
+def normal(text: str | None) -> bytes:
+    """Words in lower case with one space between them, and the end."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + END
+
+
+#: The end's key; keys of words are negative too, and strings are packed into positive numbers.
+END_KEY = -1
+
+
+def words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of normal texts, and how many each text has."""
+    h, starts = word_hashes(np.frombuffer(b"".join(docs), dtype=np.uint8))
+    return np.minimum(~(h >> np.uint64(1)).astype(np.int64), END_KEY - 1), np.diff(np.searchsorted(starts, np.cumsum([0, *map(len, docs)])))
 
 
 def _pieces(texts: pa.ChunkedArray):
-    """Token lists of consecutive documents, about PIECE bytes of them at a time."""
+    """Normal texts of consecutive documents, about PIECE bytes of them at a time."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        t = t.as_py()
-        held.append(tokens(t))
-        size += len(t or "")
+        held.append(normal(t.as_py()))
+        size += len(held[-1])
         if size >= PIECE:
             yield first, held
             held, size, first = [], 0, i + 1
@@ -66,10 +73,9 @@ def _pieces(texts: pa.ChunkedArray):
         yield first, held
 
 
-def grams(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last ``order`` + 1 bytes at each position of each document, packed; and the lengths of documents."""
+def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``order`` + 1 bytes at each position of each normal text, packed; and the lengths of texts."""
     pad = END * order
-    texts = [b" ".join(d[:-1]) + END for d in docs]
     joined = np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     out = np.zeros(max(0, len(joined) - order), dtype=np.int64)
@@ -94,6 +100,14 @@ def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counted[order], first) if len(first) else np.zeros(0, np.int64)
 
 
+def _tally(keys: np.ndarray, each: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys and the sums of ``each``, in parts that may share keys."""
+    if len(each) and each.max() > 1:
+        return [_distinct(keys, each)]
+    others = np.unique(keys[each == 0])
+    return [np.unique(keys[each == 1], return_counts=True), (others, np.zeros(len(others), dtype=np.int64))]
+
+
 def _count(order: int):
     """Distinct strings and words of a block, with their numbers in training documents."""
 
@@ -101,32 +115,16 @@ def _count(order: int):
         # How often each document counts: never outside training, else as often as its row is there.
         weight = table.column("times").to_numpy() * table.column("train").to_numpy(zero_copy_only=False)
         block = table.column("block")[0].as_py()
-        strings, words = [], Counter()
+        parts = []
         for first, docs in _pieces(table.column("text")):
-            g, sizes = grams(docs, order)
             mine = weight[first : first + len(docs)]
-            each = np.repeat(mine, sizes)
-            if len(mine) and mine.max() > 1:
-                strings.append(_distinct(g, each))
-            else:
-                strings.append(np.unique(g[each == 1], return_counts=True))
-                others = np.unique(g[each == 0])
-                strings.append((others, np.zeros(len(others), dtype=np.int64)))
-            for n, d in zip(mine.tolist(), docs, strict=True):
-                if n == 1:
-                    words.update(d)
-                else:
-                    for x in d:
-                        words[x] += n
-        u, n = _distinct(np.concatenate([x[0] for x in strings]), np.concatenate([x[1] for x in strings]))
-        keys = np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
-        return pa.table(
-            {
-                "block": pa.array(np.full(len(u) + len(words), block, dtype=np.int32)),
-                "key": pa.array(np.concatenate([u, keys])),
-                "n": pa.array(np.concatenate([n, np.fromiter(words.values(), dtype=np.int64, count=len(words))])),
-            }
-        )
+            g, sizes = grams(docs, order)
+            parts += _tally(g, np.repeat(mine, sizes))
+            w, sizes = words(docs)
+            parts += _tally(w, np.repeat(mine, sizes))
+        parts.append((np.array([END_KEY]), np.array([weight.sum()])))
+        key, n = _distinct(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+        return pa.table({"block": pa.array(np.full(len(key), block, dtype=np.int32)), "key": pa.array(key), "n": pa.array(n)})
 
     return run
 
@@ -157,38 +155,29 @@ class _Table:
         return self.values[at]
 
 
-class _Logs(dict):
-    """log10 of a word's add-one probability, worked out when first asked for."""
-
-    def __init__(self, counts: dict[int, float], bottom: int, none: float):
-        super().__init__()
-        self.counts, self.bottom, self.none = counts, bottom, none
-
-    def __missing__(self, word: bytes) -> float:
-        c = self.counts.get(word_key(word), 0)
-        out = self[word] = math.log10((c + 1) / self.bottom) if c else self.none
-        return out
-
-
 def _score(order: int, total: int, distinct: int):
     """Scores of a block's documents, from the values of its strings and words."""
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         key, value = (values.column(c).to_numpy() for c in ("key", "value"))
         word = key < 0
-        logs = _Table(key[~word], value[~word])
+        logs, counts = _Table(key[~word], value[~word]), _Table(key[word], value[word])
         bottom = total + distinct + 1
-        none = math.log10(1 / bottom)
-        memo = _Logs(dict(zip(key[word].tolist(), value[word].tolist(), strict=True)), bottom, none)
+        end = counts.find(np.array([END_KEY]))[0]
         n, known, base, score = [], [], [], []
         for _, parts in _pieces(docs.column("text")):
             g, sizes = grams(parts, order)
             score += np.add.reduceat(logs.find(g), np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
-            for d in parts:
-                got = [memo[w] for w in d]
-                n.append(len(d))
-                known.append(len(d) - got.count(none))
-                base.append(sum(got))
+            w, sizes = words(parts)
+            c = counts.find(w)
+            some, at = np.flatnonzero(sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sums, seen = np.zeros(len(parts)), np.zeros(len(parts), dtype=np.int64)
+            if len(some):
+                sums[some] = np.add.reduceat(np.log10((c + 1) / bottom), at[some])
+                seen[some] = np.add.reduceat((c > 0).astype(np.int64), at[some])
+            n += (sizes + 1).tolist()
+            known += (seen + int(end > 0)).tolist()
+            base += (sums + math.log10((end + 1) / bottom)).tolist()
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "times": docs.column("times"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
@@ -249,10 +238,9 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     docs = docs.repartitionById(blocks, F.col("block"))
     counts = materialize(docs.groupBy("block").applyInArrow(_count(order), "block int, key long, n long"), "ppm-counts")
     sums = materialize(counts.groupBy("key").agg(F.sum("n").alias("n")), "ppm-sums")
-    words = sums.where("key < 0 and n > 0")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n, v = sums.where("key < 0 and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     strings, held = _probabilities(sums.where("key >= 0"), order)
-    values = materialize(strings.select("key", "value").union(words.select("key", F.col("n").cast("double"))), "ppm-values")
+    values = materialize(strings.select("key", "value").union(sums.where("key < 0").select("key", F.col("n").cast("double"))), "ppm-values")
     release(*held, sums)
     asked = materialize(counts.select("block", "key").join(values, "key").select("block", "key", "value"), "ppm-asked")
     release(counts, values)
