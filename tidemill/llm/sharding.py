@@ -53,13 +53,25 @@ def shard(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: s
 def _split(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Rows whose bucket fits at a depth from low to high, and those that need more bits."""
     cell = F.shiftright("h", BITS - high)
-    cells = rows.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
-    # The shallowest prefix that fits; a cell's sums at all depths come from cells alone.
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("cell", high - d).alias("shard")) for d in range(low, high + 1)])).alias("at")
-    cells = materialize(cells, "shard-cells")
-    sums = cells.select("cell", "bytes", depths).groupBy("at").agg(F.sum("bytes").alias("shard_bytes"))
-    fits = cells.select("cell", depths).join(sums, "at").where(F.col("shard_bytes") <= limit if high < BITS else (F.col("shard_bytes") <= limit) | (F.col("at.depth") == BITS))
-    directory = materialize(fits.groupBy("cell").agg(F.min(F.struct("at.depth", "at.shard", "shard_bytes")).alias("found")), "shard-directory")
+    cells = materialize(rows.groupBy(cell.alias("shard")).agg(F.sum("n_bytes").alias("bytes")), "shard-cells")
+    # Sums of each depth come from the next deeper one; where none fits, none does further up.
+    level, depth, fits, held = cells, high, None, []
+    while True:
+        now = level if depth == BITS else level.where(F.col("bytes") <= limit)
+        now = now.select(F.lit(depth).alias("depth"), "shard", F.col("bytes").alias("shard_bytes"))
+        if depth < high and now.isEmpty():
+            break
+        fits, top = now if fits is None else fits.union(now), depth
+        if depth == low:
+            break
+        level, depth = materialize(level.groupBy(F.shiftright("shard", 1).alias("shard")).agg(F.sum("bytes").alias("bytes")), "shard-level"), depth - 1
+        held.append(level)
+    # The shallowest prefix of each cell that fits.
+    prefixes = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("shard", high - d).alias("shard")) for d in range(top, high + 1)])).alias("at")
+    asked = cells.select(F.col("shard").alias("cell"), prefixes).select("cell", "at.depth", "at.shard")
+    directory = asked.join(fits, ["depth", "shard"]).groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("found"))
+    directory = materialize(directory, "shard-directory")
+    release(*held)
     tagged = rows.withColumn("cell", cell).join(directory, "cell", "left")
     out = tagged.where("found is not null").select("doc_id", "n_bytes", "found.depth", "found.shard", "found.shard_bytes", (F.col("found.shard_bytes") > limit).alias("oversized"))
     left = materialize(tagged.where("found is null").select("doc_id", "n_bytes", "h"), "shard-left")
