@@ -1,5 +1,9 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
+Nulls, empty and repeated rows, clashing column names and empty tables have the results
+that each stage's operator states: a null text fails the quality rules; of several rows of
+one id the near-duplicate stage keeps one; an empty table gives an empty result.
+
 Each stage works on all rows that the one before it kept, and ``run`` writes a stage's
 rows as Parquet to the shared folder before the next one reads them, so a lost executor
 never costs more than a stage.  All stages but the last return the columns of
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import jaccard_join, line_dedup, packing, quality_rules, suffix_dedup
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import materialize, release, table
 
 #: A string that repeats goes from this many bytes on: passages of fifty words are longer.
 PASSAGE = 200
@@ -55,9 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the ``documents`` table."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
