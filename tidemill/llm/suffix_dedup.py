@@ -19,9 +19,10 @@ are compared in groups that can share a window:
 4. An anchor with more than ``GROUP`` classes is split, by what else its windows hold.
    Windows that begin ``low`` to ``high`` bytes before the anchor all hold ``low`` bytes
    before it and so many after it; halving that range makes more bytes common to its
-   windows, and rows go on in groups that agree in those bytes.  Groups that fit have
-   their trees; where the range is one offset, a group is one window, and it repeats if
-   it has two rows.  So no task has more than ``GROUP`` rows of a group.
+   windows, and rows go on in groups that agree in those bytes.  Rows that agree in all
+   windows of the half are one class again, and one of them goes on.  Groups that fit
+   have their trees, and where the range is one offset, a group is one class.  So no task
+   has more than ``GROUP`` classes of a group.
 
 ``keep_first``: the first of the places of a window (by id, then place) keeps its bytes, and
 so does a window that overlaps its own first place.  Any repeat shows this by its least
@@ -311,27 +312,36 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = whole.union(trees(pieces.where(f"classes <= {group}").select(*columns)))
     left = pieces.where(f"classes > {group}").dropDuplicates(["anchor", *KEY, "first"]).select(*columns, F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
     while not left.isEmpty():
-        groups = materialize(_halves(left, length), "suffix-halves")
-        sizes = groups.groupBy("anchor").agg(F.count("*").alias("rows"), F.min(order).alias("least")).where("rows > 1")
-        level = materialize(groups.join(sizes, "anchor").withColumn("later", later), "suffix-level")
-        release(groups)
-        out = out.union(trees(level.where(f"low < high and rows <= {group}").select(*columns)))
-        same = level.where("low = high").where(F.col("later") if keep_first else F.lit(True))
-        out = out.union(same.select(*KEY, (F.col("place") - F.col("low")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop")))
-        left = level.where(f"low < high and rows > {group}").drop("rows", "least", "later")
+        halves = materialize(_halves(left, length), "suffix-halves")
+        # Classes of the narrower range: rows that agree in all its windows repeat in all of them.
+        kinds = materialize(halves.groupBy("anchor", "kind").agg(F.count("*").alias("m"), F.min(order).alias("least")), "suffix-kinds")
+        sizes = kinds.groupBy("anchor").agg(F.count("*").alias("classes"))
+        level = halves.join(kinds, ["anchor", "kind"]).join(sizes, "anchor").where("m > 1 or classes > 1")
+        level = materialize(level.withColumn("chosen", chosen).withColumn("later", later), "suffix-level")
+        release(halves, kinds)
+        out = out.union(level.where("m > 1").where(F.col("later") if keep_first else F.lit(True)).select(*KEY, "start", "stop"))
+        left = level.where("chosen and classes > 1").withColumn("n", F.greatest("n", "m"))
+        out = out.union(trees(left.where(f"classes <= {group}").select(*columns)))
+        left = left.where(f"classes > {group}").select(*columns, "low", "high")
     return out
 
 
 def _halves(rows: DataFrame, length: int) -> DataFrame:
-    """Rows of both halves of their offsets' range, each under the digest of the bytes that all its windows hold."""
+    """Rows of both halves of their offsets' range, under the digest of the bytes that all its windows hold.
+
+    ``kind``: the digest of all bytes of the row's windows in the half; ``start``, ``stop``: where those bytes are.
+    """
     middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
     halves = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))).alias("half")
     x = rows.select("anchor", *KEY, "place", "first", "n", "piece", halves).where("half.low <= half.high")
     # Offsets that a row's windows have: from its last window to its first.
     x = x.where(f"half.low <= place - first and half.high >= place - first + {length} - length(piece)")
-    common = f"substring(piece, cast(place - first - half.low as int) + 1, half.low + {length} - half.high)"
-    key = F.md5(F.concat(F.expr(f"md5({common})"), F.concat_ws("-", F.lit(""), F.col("anchor").cast("string"), F.col("half.low").cast("string"), F.col("half.high").cast("string"))))
-    return x.select(key.alias("anchor"), *KEY, "place", "first", "n", "piece", "half.low", "half.high")
+    x = x.withColumn("start", F.expr("greatest(first, place - half.high)")).withColumn("stop", F.expr(f"least(first + length(piece), place - half.low + {length})"))
+    part = lambda start, size: F.expr(f"md5(substring(piece, cast({start} - first as int) + 1, cast({size} as int)))")
+    common = part("place - half.low", f"half.low + {length} - half.high")
+    key = F.md5(F.concat_ws("-", common, F.col("anchor").cast("string"), F.col("half.low").cast("string"), F.col("half.high").cast("string")))
+    kind = F.concat_ws("-", part("start", "stop - start"), F.expr("cast(place - start as string)"), F.expr("cast(stop - place as string)"))
+    return x.select(key.alias("anchor"), *KEY, "place", "first", "n", "piece", "half.low", "half.high", "start", "stop", kind.alias("kind"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
