@@ -350,12 +350,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(df, spans, id_col, text_col).select("row.*", F.col("cut").alias(free_name(df, "cut")))
 
 
-def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def keep_unrepeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """``df`` with its texts less their repeats, without the texts of which nothing but white space is left.
 
-    The first place of a repeat keeps it, so no text is lost to all documents.
+    No copy of a repeat stays, unless ``keep_first``: then its first place keeps it, and no
+    text is lost to all documents.
     """
-    spans = materialize(repeated_spans(df, id_col, text_col, length, keep_first=True), "suffix-spans")
+    spans = materialize(repeated_spans(df, id_col, text_col, length, keep_first=keep_first), "suffix-spans")
     return cut(df, spans, id_col, text_col, as_text=True).where(with_words()).select(*restored(df, text_col))
 
 
