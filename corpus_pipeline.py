@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that an earlier place has go; so do documents with nothing else."""
+    """Long strings that occur twice or more go, all their copies; so do documents with nothing else."""
     return _counted(suffix_dedup.keep_unrepeated(docs, length=PASSAGE))
 
 
