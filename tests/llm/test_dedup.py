@@ -156,6 +156,30 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group):
     assert sum(w[1] for w in want) > 5000
 
 
+def test_suffix_dedup_deals_a_hot_anchor_to_many_tasks(spark, monkeypatch):
+    """Where rows are joined by their anchor, no aggregate by it keeps a hot anchor's rows in one task, and no row with bytes is dealt by it."""
+    plans, original = {}, S.materialize
+
+    def seen(frame, tag):
+        plans.setdefault(tag, []).append(frame._jdf.queryExecution().executedPlan().toString())
+        return original(frame, tag)
+
+    monkeypatch.setattr(S, "materialize", seen)
+    long = texts()[-3][1]
+    rows = [(k, f"{k} begins " * 9 + long[5000 + 40 * (k % 5) : 5700 - 30 * (k % 7)] + f" ends {k}" * 9) for k in range(30)]
+    # The counts are small here; as large ones they are not broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spans = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), group=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spans and plans["suffix-level"]
+    for plan in plans["suffix-level"] + plans["suffix-known"]:
+        assert "SortMergeJoin" in plan and "Aggregate" not in plan
+    for plan in plans["suffix-level"]:
+        assert sum("hashpartitioning(anchor#" in x and "kind#" not in x for x in plan.split("\n")) == 2
+
+
 @given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20))
 @settings(max_examples=50, deadline=None)
 def test_widest_leaves_out_what_is_inside(found):
