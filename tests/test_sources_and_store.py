@@ -206,3 +206,17 @@ def test_administration(spark, tmp_path):
     with pytest.raises(QueryError):
         admin(store, "fly")
     assert len(admin(store, "gc", "0").collect()) == 1 and store.days() == []
+
+
+def test_a_batch_writes_its_series_in_many_tasks(spark, tmp_path):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(coalesce)
+    store = Store(spark, str(tmp_path / "s"))
+    spark.conf.set(coalesce, "false")
+    try:
+        for batch in ("one", "one", "two"):
+            store.append(spark.createDataFrame([("m", T0 + d * 86400, 1.0, {"h": str(i)}, 1) for i in range(50) for d in range(2)], POINTS_SCHEMA), batch)
+    finally:
+        spark.conf.set(coalesce, was)
+    assert len(list((tmp_path / "s" / "series" / "batch=one").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "s" / "series")).count() == 100 and store.series().count() == 50
