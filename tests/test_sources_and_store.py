@@ -220,3 +220,26 @@ def test_a_batch_writes_its_series_in_many_tasks(spark, tmp_path):
         spark.conf.set(coalesce, was)
     assert len(list((tmp_path / "s" / "series" / "batch=one").glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "s" / "series")).count() == 100 and store.series().count() == 50
+
+
+def test_hourly_rollups_hold_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators.rollup import hourly
+
+    nan, t = float("nan"), T0 // 3600 * 3600
+    points = [("m", t, 1.0, {"h": "a"}, 1), ("m", t, -0.5, {"h": "a"}, 2), ("m", t + 1, nan, {"h": "a"}, 3), ("m", t + 2, 4.0, {"h": "a"}, 4), ("m", t + 3600, nan, {"h": "a"}, 5), ("m", t, 7.0, {"h": "b"}, 6), ("n", t, 8.0, {"h": "b"}, 7), ("m", t, 9.0, {}, 8)]
+    got = hourly(spark.createDataFrame(points, POINTS_SCHEMA))
+    one = hourly(spark.createDataFrame(points, POINTS_SCHEMA).withColumn("metric", F.lit("m")))
+    for frame in (got, one):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1 and "HashAggregate" not in plan and plan.count("Exchange") == 1
+    rows_ = {(r.metric, r.series, r.ts - t): (r.tags, r.cnt, r.min, r.max, str(r.sum)) for r in got.collect()}
+    assert rows_ == {
+        ("m", "h=a", 0): ({"h": "a"}, 3, -0.5, 4.0, "nan"),
+        ("m", "h=a", 3600): ({"h": "a"}, 1, None, None, "nan"),
+        ("m", "h=b", 0): ({"h": "b"}, 1, 7.0, 7.0, "7.0"),
+        ("n", "h=b", 0): ({"h": "b"}, 1, 8.0, 8.0, "8.0"),
+        ("m", "", 0): ({}, 1, 9.0, 9.0, "9.0"),
+    }
+    assert {(r.series, r.ts - t): r.cnt for r in one.collect()} == {("h=a", 0): 3, ("h=a", 3600): 1, ("h=b", 0): 1, ("", 0): 1}
